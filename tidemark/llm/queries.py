@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, substrings, suffixes, urls
+from . import chat, decontam, mixing, simhash, substrings, suffixes, urls
 
 #: Rules of op6 as (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.report(decontam.spans(docs, table(spark, sf_dir, "benchmark")))
@@ -57,6 +61,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_mixing, op5_suffix_dedup, op6_url_filter, op9_substring_dedup, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_mixing, op5_suffix_dedup, op6_url_filter, op9_substring_dedup, op10_chat)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, simhash, substrings, suffixes, urls
+from . import chat, decontam, media, mixing, simhash, substrings, suffixes, tokens, urls
 
 #: Rules of op6 as (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -42,6 +43,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.encode(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -71,6 +77,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_mixing, op5_suffix_dedup, op6_url_filter, op8_media, op9_substring_dedup, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_mixing, op5_suffix_dedup, op6_url_filter, op7_token_ids, op8_media, op9_substring_dedup, op10_chat)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, simhash, substrings, suffixes, tokens, urls
+from . import chat, decontam, media, mixing, quality, simhash, substrings, suffixes, tokens, urls
 
 #: Rules of op6 as (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -33,6 +33,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,6 +82,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_mixing, op5_suffix_dedup, op6_url_filter, op7_token_ids, op8_media, op9_substring_dedup, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_mixing, op4_quality, op5_suffix_dedup, op6_url_filter, op7_token_ids, op8_media, op9_substring_dedup, op10_chat)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -48,7 +48,7 @@ class Rolling:
         while len(self.powers) < n + 1:
             for name, factor in (("powers", self.radix), ("inverses", self.inverse)):
                 have = getattr(self, name)
-                setattr(self, name, np.concatenate((have, have * (have[-1] * factor))))
+                setattr(self, name, np.concatenate((have, have * (have[-1:] * factor))))
 
     def sums(self, terms: np.ndarray) -> np.ndarray:
         """``terms``: bytes, or 64-bit values."""

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ranges
-from .exchange import BLOCK_BYTES, CHUNK_BYTES, FIRST, MAIL, SECOND, Sketch, U, chunks, divided, loaded, mail, opened, packed, unpacked
+from .exchange import BLOCK_BYTES, CHUNK_BYTES, FIRST, MAIL, SECOND, Sketch, U, chunks, divided, loaded, mail, mixed, opened, packed, unpacked
 
 #: Bytes of a core, and of the depth to which multikey quicksort goes.
 CORE, SHALLOW = 20, 32
 #: Anchors in a shard of the sorting step, about.
-SHARD = 1 << 18
+SHARD = 1 << 16
 _PLACE = U((1 << 20) - 1)  # a block is shorter than this
 
 
@@ -196,13 +196,25 @@ def later(order: np.ndarray, new: np.ndarray, doc: np.ndarray, start: np.ndarray
     return out
 
 
+def contents(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each segment, block by block."""
+    first, second = np.empty(len(begins), U), np.empty(len(begins), U)
+    block = begins // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(begins)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            base = int(begins[a])
+            part = data[base : int(begins[b - 1] + sizes[b - 1])]
+            for roll, out in ((FIRST, first), (SECOND, second)):
+                out[a:b] = roll.slices(roll.sums(part), begins[a:b] - base, begins[a:b] + sizes[a:b] - base)
+    return first, second
+
+
 def repeats(core, rel, count, doc, start, data, length) -> np.ndarray:
     """For the windows of segments, one after another: whether an equal window starts earlier. ``data``: their bytes, in order."""
     sizes = count + length - 1
     begins = np.cumsum(sizes) - sizes
-    sums = FIRST.sums(data)
-    first = FIRST.slices(sums, begins, begins + sizes)
-    second = SECOND.slices(SECOND.sums(data), begins, begins + sizes)
+    first, second = contents(data, begins, sizes)
     window = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), bool)
     # Equal segments: all but the earliest repeat it.
@@ -253,8 +265,11 @@ def remove_repeated(docs: DataFrame, length: int = 100, chunk_bytes: int = CHUNK
         some = np.flatnonzero(sketch.repeated(a.core, answers))
         lead = some[a.leaders(ids, some)]
         own = some[(ids[a.doc[some]] == ids[a.doc[lead]]) & (a.start[some] == a.start[lead])]
-        own = own[np.argsort(a.core[own], kind="stable")]
-        bounds = np.searchsorted(divided(a.core[own], shards), np.arange(shards + 1))
+        # Anchors are least hashes, so cores are spread anew before they are dealt out.
+        shard = divided(mixed(a.core[own] * U(5)), shards)
+        by = np.lexsort((a.core[own], shard))
+        own, shard = own[by], shard[by]
+        bounds = np.searchsorted(shard, np.arange(shards + 1))
         out = []
         for s, (x, y) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
             if y > x:

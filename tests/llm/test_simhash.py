@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -74,7 +75,7 @@ def cluster(rnd, n):
 def test_every_link_is_found(spark, seed):
     rnd = np.random.default_rng(seed)
     fps = sorted({f for _ in range(12) for f in cluster(rnd, 40)} | {int(x) for x in rnd.integers(0, 1 << 62, 200)})
-    known = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    known = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long").withColumn("more", F.expr("cast(array() as array<long>)"))
     edges = [(r[0], r[1]) for r in simhash.links(known, 4).collect()]
     assert all((fps[a] ^ fps[b]).bit_count() <= 64 for a, b in edges)
     label = {r["node"]: r["component"] for r in simhash.components(simhash.links(known, 4)).collect()}
@@ -93,6 +94,24 @@ def test_every_link_is_found(spark, seed):
     assert all(label.get(i, i) == root(i) for i in range(len(fps)))
 
 
+def test_similar_documents_are_found_by_wide_fingerprints(spark):
+    rnd = random.Random(4)
+    base = [[f"w{rnd.randint(0, 10**6)}" for _ in range(300)] for _ in range(40)]
+    rows, want = [], {}
+    for i, words in enumerate(base):
+        rows.append((3 * i, " ".join(words)))
+        near, far = list(words), list(words)
+        for k in rnd.sample(range(300), 3):  # similarity over 0.9
+            near[k] = "changed"
+        for k in range(0, 300, 8):  # below 0.3
+            far[k] = "changed"
+        rows += [(3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+        want |= {3 * i: 3 * i, 3 * i + 1: 3 * i, 3 * i + 2: 3 * i + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 11, 5, wide=3, whole=40).collect()}
+    assert sum(got[k] == want[k] for k in want) >= len(want) - 2 and all(got[k] == k for k in want if want[k] == k)
+
+
 def test_thresholds_cover_every_way_to_differ():
     rnd = np.random.default_rng(1)
     bits = (rnd.random((500, 64)) < rnd.random(64)).astype(np.int64)

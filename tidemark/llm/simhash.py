@@ -31,41 +31,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranges, slices, texts, written
+from .exchange import mixed
 
 BITS = 64
 #: Fingerprints in a block of a posting list; pairs of a list that are simply compared.
 LIST, SHORT = 2048, 256
+#: Work of comparing a pair, as a part of that of dealing out a row.
+PAIR = 0.003
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+def shingle_hashes(text: bytes, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``shingle`` words, lower-cased; of all words, where they are fewer."""
     words = text.translate(_LOWER).split()
-    if not words:
-        return 0
     line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, 42)
-    ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(e + 1 for e in ends)][: len(words) - shingle + 1]
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
-    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    if len(words) <= shingle:
+        raw = digest(line, 42) if words else b""
+    else:
+        ends = list(itertools.accumulate(map(len, words), lambda a, b: a + b + 1, initial=-1))[1:]
+        starts = [0, *(e + 1 for e in ends)]
+        raw = b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
+    return np.frombuffer(raw, ">u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; zero without any."""
+    rows = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes())
+    for at in range(0, len(rows), 1 << 14):
+        counts += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, wide: int = 0) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and more: ``wide`` further fingerprints, of hashes mixed anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            fps = np.array([fingerprint(t, shingle) for t in texts(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.zeros((batch.num_rows, 1 + wide), np.uint64)
+            for row, text in zip(fps, texts(batch.column("text"))):
+                hashes = shingle_hashes(text, shingle).astype(np.uint64)
+                row[0] = fingerprint(hashes)
+                for k in range(wide):
+                    hashes = mixed(hashes * np.uint64(0x9E3779B97F4A7C15))
+                    row[k + 1] = fingerprint(hashes)
+            fps = fps.view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * wide, pa.int32()), pa.array(fps[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 0].copy()), more], names=["doc_id", "fp", "more"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, more array<long>")
 
 
 # -- partitions and thresholds
@@ -125,7 +140,7 @@ def allocated(n: int, sums: np.ndarray, groups: list[list[int]], distance: int)
             near[1:] = near[1:] * (1 - q) + near[:-1] * q
             near[0] *= 1 - q
         probes = sum(math.comb(len(group), k) for k in range(t + 1))
-        return n * (1.0 + probes) + 0.05 * float(n) * n * float(near.sum())
+        return n * (1.0 + probes) + PAIR * float(n) * n * float(near.sum())
 
     best = {0: (0.0, [])}  # sum of (t + 1) so far: work, thresholds
     for group in groups:
@@ -152,76 +167,88 @@ def planned(n: int, sums: np.ndarray, distance: int) -> list[tuple[list[int], in
 # -- links
 
 
-def links(fps: DataFrame, distance: int) -> DataFrame:
-    """Edges (a, b) between nodes of ``fps`` (fp, node) that join all fingerprints within ``distance`` bits, directly or by others."""
+def links(fps: DataFrame, distance: int, whole: int | None = None) -> DataFrame:
+    """Edges (a, b) between nodes of ``fps`` (fp, more, node) that join all that are linked, directly or by others.
+
+    Two are linked if their fp differ in ``distance`` bits at most and, where ``whole`` is given, fp and more
+    together in ``whole`` bits at most.
+    """
     plan = planned(*statistics(fps), distance)
     masks = [sum(1 << (BITS - 1 - b) for b in bits) for bits, _ in plan]
     flips = [[sum(1 << (BITS - 1 - b) for b in c) for k in range(t + 1) for c in itertools.combinations(bits, k)] for bits, t in plan]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     # Posting lists that are too long for one task, with their number of blocks.
-    posts = fps.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("part", "value"))
+    posts = fps.select("fp", "more", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("part", "value"))
     long = posts.groupBy("part", "value").count().where(F.col("count") > LIST)
     long = written(long.select("part", "value", F.ceil(F.col("count") / LIST).cast("int").alias("blocks")), "long-lists")
     blocks = F.coalesce("blocks", F.lit(1))
     every, own = F.explode(F.sequence(F.lit(0), blocks - 1)), F.pmod(F.xxhash64("fp"), blocks).cast("int")
     posts = posts.join(long, ["part", "value"], "left")
-    posts = posts.select("fp", "node", "part", "value", F.lit(True).alias("posted"), own.alias("block"), every.alias("other"))
+    posts = posts.select("fp", "more", "node", "part", "value", F.lit(True).alias("posted"), own.alias("block"), every.alias("other"))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "node"))
+            fp = batch.column("fp").to_numpy(zero_copy_only=False)
             for part, (mask, values) in enumerate(zip(masks, flips)):
-                for at in range(0, len(fp), max(1, (1 << 18) // len(values))):
-                    own = slice(at, at + max(1, (1 << 18) // len(values)))
-                    value = (fp[own] & np.int64(signed(mask)))[:, None] ^ np.array([signed(v) for v in values], np.int64)[None, :]
-                    n = value.size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(fp[own], len(values))), pa.array(np.repeat(node[own], len(values))), pa.array(np.full(n, part, np.int32)), pa.array(value.ravel())],
-                        names=["fp", "node", "part", "value"],
-                    )
-
-    asked = fps.select("fp", "node").mapInArrow(probes, "fp long, node long, part int, value long")
+                turn = np.array([signed(v) for v in values], np.int64)
+                step = max(1, (1 << 16) // len(values))
+                for at in range(0, len(fp), step):
+                    value = (fp[at : at + step] & np.int64(signed(mask)))[:, None] ^ turn[None, :]
+                    rows = batch.take(pa.array(np.repeat(np.arange(at, at + len(value)), len(values))))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(value.size, part, np.int32)), pa.array(value.ravel())], names=[*rows.schema.names, "part", "value"])
+
+    asked = fps.select("fp", "more", "node").mapInArrow(probes, "fp long, more array<long>, node long, part int, value long")
     asked = asked.join(long, ["part", "value"], "left")
-    asked = asked.select("fp", "node", "part", "value", F.lit(False).alias("posted"), every.alias("block"), own.alias("other"))
+    asked = asked.select("fp", "more", "node", "part", "value", F.lit(False).alias("posted"), every.alias("block"), own.alias("other"))
     key = ["part", "value", "block", "other"]
     met = posts.unionByName(asked).repartition(*key).sortWithinPartitions(*key)
-    return met.select(*key, "posted", "fp", "node").mapInArrow(_verify(distance), "a long, b long")
+    return met.select(*key, "posted", "node", "fp", "more").mapInArrow(_verify(distance, whole), "a long, b long")
 
 
-def _verify(distance: int):
+def _verify(distance: int, whole: int | None):
+    def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "block", "other", "posted", "node", "fp")]
+        out[4] = out[4].astype(bool)
+        more = batch.column("more").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        return [*out[:6], np.concatenate((out[6][:, None], more), 1).view(np.uint64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive in order of their list; a list may go on in the next batch."""
         rest: list[np.ndarray] | None = None
-        names = ("part", "value", "block", "other", "posted", "fp", "node")
         for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-                rows[4] = rows[4].astype(bool)
-                rows = [np.concatenate(x) for x in zip(rest, rows)] if rest is not None else rows
-            elif rest is None:
+            if batch is not None and not batch.num_rows:
+                continue
+            rows = rest if batch is None else rows_of(batch)
+            if rows is None:
                 return
-            else:
-                rows = rest
+            if batch is not None and rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows)]
             step = np.any([x[1:] != x[:-1] for x in rows[:4]], axis=0)
             heads = np.concatenate(([0], np.flatnonzero(step) + 1))
-            if batch is None:
-                done, rest = len(rows[0]), None
-            else:
-                done = int(heads[-1])  # the last list may not be complete
-                rest = [x[done:] for x in rows]
+            done = len(rows[0]) if batch is None else int(heads[-1])  # the last list may not be complete
+            rest = [x[done:] for x in rows]
             if done:
                 heads = heads[heads < done]
-                a, b = _forest(heads, np.append(heads[1:], done), *(x[:done] for x in rows[4:]), distance)
+                a, b = _forest(heads, np.append(heads[1:], done), *(x[:done] for x in rows[4:]), distance, whole)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def _forest(heads, ends, posted, fp, node, distance) -> tuple[np.ndarray, np.ndarray]:
+def _near(f: np.ndarray, g: np.ndarray, distance: int, whole: int | None) -> np.ndarray:
+    """Whether fingerprints, with words along the last axis, are linked."""
+    out = np.bitwise_count(f[..., 0] ^ g[..., 0]) <= distance
+    if whole is not None and out.any():
+        at = np.nonzero(out)
+        f, g = (np.broadcast_to(x, (*out.shape, x.shape[-1]))[at] for x in (f, g))
+        out[at] = np.bitwise_count(f ^ g).sum(-1, dtype=np.int64) <= whole
+    return out
+
+
+def _forest(heads, ends, posted, node, fp, distance, whole) -> tuple[np.ndarray, np.ndarray]:
     """Links between those posted and those that probe, list by list: all of short lists, a spanning forest of others."""
-    fp = fp.view(np.uint64)
     n_posted = np.add.reduceat(posted.astype(np.int64), heads)
     n_probes = ends - heads - n_posted
     order = np.argsort(np.repeat(np.arange(len(heads)), ends - heads) * 2 + ~posted, kind="stable")  # those posted come first
@@ -230,22 +257,26 @@ def _forest(heads, ends, posted, fp, node, distance) -> tuple[np.ndarray, np.nda
     first, many, few = heads[short], n_posted[short], n_probes[short]
     x = np.repeat(ranges(first + many, few), np.repeat(many, few))
     y = ranges(np.repeat(first, few), np.repeat(many, few))
-    near = (np.bitwise_count(fp[x] ^ fp[y]) <= distance) & (node[x] > node[y])
+    near = node[x] > node[y]
+    x, y = x[near], y[near]
+    near = _near(fp[x], fp[y], distance, whole)
     a, b = [node[x[near]]], [node[y[near]]]
     large = n_posted * n_probes > SHORT
     for h, n, e in zip(heads[large].tolist(), n_posted[large].tolist(), ends[large].tolist()):
-        f, g, own, other = fp[h : h + n], fp[h + n : e], node[h : h + n], node[h + n : e]
+        own = node[h : h + n]
         label = dict(zip(node[h:e].tolist(), node[h:e].tolist()))
         roots = lambda nodes: np.array([_root(label, k) for k in nodes.tolist()])  # noqa: E731, B023
-        step = max(1, (1 << 20) // n)
-        for at in range(0, len(g), step):
-            near = np.bitwise_count(g[at : at + step, None] ^ f[None, :]) <= distance
-            while True:  # join each probe to one more component, until no link goes between two
-                between = near & (roots(other[at : at + step])[:, None] != roots(own)[None, :])
-                some = np.flatnonzero(between.any(1))
-                if not len(some):
-                    break
-                for p, q in zip(other[at : at + step][some].tolist(), own[between[some].argmax(1)].tolist()):
+        step = max(1, (1 << 18) // n)
+        for at in range(h + n, e, step):
+            to = min(e, at + step)
+            near = _near(fp[at:to, None], fp[None, h : h + n], distance, whole)
+            near &= node[at:to, None] != own[None, :]
+            some = np.flatnonzero(near.any(1))
+            near = near[some]
+            while len(some):  # join each probe to one more component, until no link goes between two
+                near &= roots(node[at + some])[:, None] != roots(own)[None, :]
+                some, near = some[left := near.any(1)], near[left]
+                for p, q in zip(node[at + some].tolist(), own[near.argmax(1)].tolist() if len(some) else []):
                     p, q = _root(label, p), _root(label, q)
                     label[max(p, q)] = min(p, q)
         keys = np.array(list(label))
@@ -287,16 +318,19 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable by links)."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, wide: int = 0, whole: int | None = None) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable by links).
+
+    With ``wide`` further fingerprints, links are verified by ``whole`` bits over all, which tells similarities apart more finely.
+    """
+    prints = written(fingerprints(docs, shingle, wide), "fingerprints")
     # A fingerprint's node is its least doc_id; one that only null doc_ids have gets a name of its own.
-    known = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = known.withColumn("node", F.coalesce("least", F.expr("-1 - pmod(fp, 9000000000000000000)")))
+    known = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("least"))
+    known = known.withColumn("node", F.coalesce("least", F.expr("-1 - pmod(xxhash64(fp, more), 9000000000000000000)")))
     known = written(known, "distinct-fingerprints")
-    found = components(links(known.select("fp", "node"), distance))
+    found = components(links(known.select("fp", "more", "node"), distance, whole if wide else None))
     # Names that aren't doc_ids give way to the least doc_id among the others.
-    root = known.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
+    root = known.join(found, "node", "left").select("fp", "more", "least", F.coalesce("component", "node").alias("root"))
     name = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = root.join(name, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = root.join(name, "root").select("fp", "more", "component_id")
+    return prints.join(by_fp, ["fp", "more"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

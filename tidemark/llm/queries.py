@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, quality, simhash, substrings, suffixes, tokens, urls
+from . import chat, decontam, media, mixing, oracles, quality, simhash, substrings, suffixes, tokens, urls
 
 #: Rules of op6 as (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -45,7 +45,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_mixing, op4_quality, op5_suffix_dedup, op6_url_filter, op7_token_ids, op8_media, op9_substring_dedup, op10_chat)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_decontamination": oracles.OP2, "op6_url_filter": oracles.op6(URL_RULES), "op9_substring_dedup": oracles.OP9, "op10_chat": oracles.OP10}

@@ -14,7 +14,7 @@ def test_gradient_equals_differences():
     counts, y = np.array([1, 3, 2]), np.array([1.0, 0.0, 1.0])
     x = rnd.normal(size=(6, 5))
     model = quality.fit(x, counts, y, epochs=1)
-    model.p = {k: v + rnd.normal(size=v.shape) * 0.3 for k, v in model.p.items()}
+    model.p = {k: np.array(v + rnd.normal(size=v.shape) * 0.3) for k, v in model.p.items()}
     loss = lambda: -np.mean(y * np.log(o := model.forward(x, counts)["score"]) + (1 - y) * np.log(1 - o))
     grads = model.gradient(model.forward(x, counts), counts, y)
     for k, v in model.p.items():

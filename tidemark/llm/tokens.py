@@ -15,9 +15,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +32,9 @@ from .common import shared_folder, slices, texts
 
 #: Rounds of pair replacement, new nonterminals of a round at most, and how often a pair must occur.
 ROUNDS, RULES, LEAST = 3, 4096, 8
-#: Symbols between two entries of the random-access index; ids of a shard and text bytes of a task, about.
-STRIDE, SHARD_IDS, PART_BYTES = 1024, 1 << 21, 16 << 20
+#: Symbols between two entries of the random-access index; ids of a shard, whose tables of pairs fit a core's cache; text bytes of a task.
+STRIDE, SHARD_IDS, PART_BYTES = 1024, 1 << 19, 16 << 20
 MAGIC = b"RPID0001"
-#: Slots of the table that counts pairs.
-_SLOTS = 20
 
 
 # -- encoding
@@ -44,13 +44,16 @@ class Encoder:
     """A tokenizers file behind a cache of words.
 
     The file's pre-tokenizer cuts before a space between two other characters, and at a line break
-    between two others; so do we, and encode each distinct piece once. Texts with other white space side by
-    side, or with the control character that marks the cuts, are encoded whole.
+    between two others; so do we, and encode each distinct piece once. Texts with white space side by side, with
+    other white space, or with the control character that marks the cuts, are encoded whole.
     """
 
-    SIDE = re.compile(r"\s\s|[\x01\x0b\x0c\r\t\x1c-\x1f\x85\xa0]")
-    #: Pieces of a generation of the cache, about 100 MB. When the young one is full it becomes the old one.
-    LIMIT = 500_000
+    SIDE = ["  ", "\n\n", " \n", "\n ", *map(chr, [1, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+    #: A word and the marks after it, which the pre-tokenizer always parts.
+    MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#-&(-/:-@\[-^{-~]+)")
+    SINGLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[!#-&(-/:-@\[-^{-~]+")
+    #: Pieces that are kept, about 120 MB: the first that come, so all frequent ones.
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,35 +61,71 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # what comes here is new: our cache holds the rest
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = dict(zip((b for b in range(256) if b not in plain), range(256, 512)))
         # Strings of special tokens stand for themselves only in whole texts.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each document."""
-        cut = [self._pieces(d) for d in documents]
-        whole = [d for d, p in zip(documents, cut) if p is None]
+        flat: list[str] = []
+        spans, whole = [], []
+        for d in documents:
+            pieces = self._pieces(d)
+            if pieces is None:
+                whole.append(d)
+                spans.append(None)
+            else:
+                spans.append((len(flat), len(flat) + len(pieces)))
+                flat += pieces
+        found = list(map(self.known.get, flat))
+        holes = [i for i, v in enumerate(found) if v is None]
+        new = self._learned({flat[i] for i in holes})
+        for i in holes:
+            found[i] = new[flat[i]]
         ids = iter(self._ids(whole))
-        if len(self.young) > self.LIMIT:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = []
-        for p in cut:
-            for x in set(p or ()).difference(young):
-                young[x] = old.get(x, b"")
-                if not young[x] and x:
-                    fresh.append(x)
-        young.update(zip(fresh, self._ids(fresh)))
-        return [next(ids) if p is None else b"".join(map(young.__getitem__, p)) for p in cut]
+        return [b"".join(found[s[0] : s[1]]) if s else next(ids) for s in spans]
+
+    def _learned(self, missed: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that aren't known: of a word and its marks, or from the library. They are kept while there is room."""
+        known, new, fresh, halves = self.known, {}, set(), []
+        for x in missed:
+            if match := self.MARKED.fullmatch(x):
+                halves.append((x, *match.groups()))
+            else:
+                fresh.add(x)
+        for _, *pair in halves:
+            fresh.update(half for half in pair if half not in known)
+        rest = []
+        for x in fresh:
+            if self.SINGLE.fullmatch(x):
+                new[x] = self._single(x)
+            else:
+                rest.append(x)
+        new.update(zip(rest, self._ids(rest)))
+        for x, word, marks in halves:
+            new[x] = (known.get(word) or new[word]) + (known.get(marks) or new[marks])
+        if len(known) < self.LIMIT:
+            known.update(new)
+        return new
 
     def _pieces(self, d: str) -> list[str] | None:
-        if self.SIDE.search(d) or any(t in d for t in self.special):
+        if any(x in d for x in self.SIDE) or any(t in d for t in self.special):
             return None
         return d.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
+    def _single(self, x: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves in one piece: straight from the library's model."""
+        x = x.replace(" ", "Ġ") if x.isascii() else x.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(x)]).tobytes()
+
     def _ids(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -108,31 +147,36 @@ def replaced(seq: np.ndarray, first_new: int, least: int = LEAST, rules: int = R
     """
     if len(seq) < 2:
         return seq, np.zeros((0, 2), np.uint32)
-    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-    counts = np.bincount(slot, minlength=1 << _SLOTS)
-    bar = max(least, int(np.partition(counts, -rules)[-rules]))
+    # Pairs of 16-bit symbols are kept in 32 bits, others in 64.
+    half, kind, factor = (16, np.uint32, 0x9E3779B1) if int(seq.max()) < 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
+    pairs = seq[:-1].astype(kind) << kind(half) | seq[1:]
+    width = max(12, len(seq).bit_length() - 1)
+    slot = (pairs * kind(factor) >> kind(2 * half - width)).astype(np.int64)
+    counts = np.bincount(slot, minlength=1 << width)
+    bar = max(least, int(np.partition(counts, -min(rules, len(counts)))[-min(rules, len(counts))]))
     chosen = np.flatnonzero(counts >= bar)
     chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:rules]
     if not len(chosen):
         return seq, np.zeros((0, 2), np.uint32)
-    symbol = np.zeros(1 << _SLOTS, np.int32)
+    symbol = np.zeros(1 << width, np.int32)
     symbol[chosen] = np.arange(1, len(chosen) + 1)
     at = np.flatnonzero(symbol[slot])
-    stands = np.zeros(1 << _SLOTS, np.uint64)
+    stands = np.zeros(1 << width, kind)
     stands[slot[at]] = pairs[at]
     at = at[stands[slot[at]] == pairs[at]]
     # In a row of places side by side, take the first, third, and so on.
     head = np.concatenate(([True], at[1:] != at[:-1] + 1))[: len(at)]
     start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
     at = at[(np.arange(len(at)) - start) % 2 == 0]
-    used, nth = np.unique(symbol[slot[at]] - 1, return_inverse=True)
+    which = symbol[slot[at]] - 1
+    hit = np.bincount(which, minlength=len(chosen)) > 0
+    used = np.flatnonzero(hit)
     out = seq.copy()
-    out[at] = first_new + nth
+    out[at] = (first_new + np.cumsum(hit) - 1).astype(np.uint32)[which]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     pair = stands[chosen[used]]
-    return out[keep], np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    return out[keep], np.stack([pair >> kind(half), pair & kind((1 << half) - 1)], 1).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -151,14 +195,20 @@ class Expansion:
     """What each symbol stands for: lengths and, laid end to end, the ids of the nonterminals."""
 
     def __init__(self, first: int, rules: np.ndarray) -> None:
-        self.first = first
-        parts: list[list[int]] = []
-        of = lambda x: parts[x - first] if x >= first else [x]
+        self.first, self.rules = first, rules
+        lengths: list[int] = []
         for a, b in rules.tolist():
-            parts.append(of(a) + of(b))
-        self.lengths = np.array([len(p) for p in parts], np.int64)
+            lengths.append((lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1))
+        self.lengths = np.array(lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.array([x for p in parts for x in p], np.uint32)
+
+    @functools.cached_property
+    def ids(self) -> np.ndarray:
+        parts: list[list[int]] = []
+        of = lambda x: parts[x - self.first] if x >= self.first else [x]
+        for a, b in self.rules.tolist():
+            parts.append(of(a) + of(b))
+        return np.array([x for p in parts for x in p], np.uint32)
 
     def sizes(self, seq: np.ndarray) -> np.ndarray:
         out = np.ones(len(seq), np.int64)
@@ -173,7 +223,7 @@ class Expansion:
         small = seq < self.first
         out[begin[small]] = seq[small]
         big = np.flatnonzero(~small)
-        for n in np.unique(sizes[big]).tolist():
+        for n in range(2, int(self.lengths.max(initial=1)) + 1):
             own = big[sizes[big] == n]
             from_ = self.starts[seq[own] - self.first]
             for k in range(n):

@@ -97,8 +97,8 @@ def prune_rollbacks(rolled: DataFrame, truncated: DataFrame) -> DataFrame:
 
 def groups(log: DataFrame, most: int) -> DataFrame:
     """Group commits of a device: at most ``most`` consecutive indexes, with a checksum chained to the group before."""
-    first = F.min("idx").over(Window.partitionBy("logdev"))
-    rows = log.withColumn("grp", F.expr("idx div 1") - first).withColumn("grp", F.expr(f"grp div {most}"))
+    first = log.groupBy("logdev").agg(F.min("idx").alias("_first"))
+    rows = log.join(first, "logdev").withColumn("grp", F.expr(f"(idx - _first) div {most}"))
     body = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("idx", "data"))), lambda r: r["data"]))
     made = rows.groupBy("logdev", "grp").agg(F.min("idx").alias("start_idx"), F.count("*").alias("n"), F.sum("size").alias("group_size"), F.md5(body).alias("cur_crc"))
     return made.withColumn("prev_crc", F.coalesce(F.lag("cur_crc").over(Window.partitionBy("logdev").orderBy("grp")), F.lit("")))

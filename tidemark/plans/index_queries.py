@@ -217,9 +217,9 @@ def tombstone_status(spark, sf):
     return mutate.tombstone_status(mutate.tombstone(state, 60, 260), asks)
 
 
-@query(f"select k, v from ({S}) where not (k between 60 and 260)")
+@query(f"select k, v from (select k, case when k between 60 and 260 then 0 else v end as v from ({S})) where not (k between 0 and 400 and v = 0)")
 def tombstone_gc(spark, sf):
-    return mutate.tombstone_gc(mutate.tombstone(_state(spark, sf)[0], 60, 260), 0, 400)[0].where("v != 0 or k > 400").select("k", "v")
+    return mutate.tombstone_gc(mutate.tombstone(_state(spark, sf)[0], 60, 260), 0, 400)[0].select("k", "v")
 
 
 @query(f"select k, v from ({S}) where k % 3 != 0")

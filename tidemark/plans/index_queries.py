@@ -95,6 +95,17 @@ def idx_lower_bounds_asof(spark, sf):
     return index.lower_bounds(events, "k", asks, within="g")
 
 
+ASKS = "select c_custkey as g, c_custkey * 7 as k from customer"
+
+
+@query(f"select g, k, bound from (select g, k, found, min(found) over (partition by g order by k rows between current row and unbounded following) as b1, min(found) over (partition by g, k) as b2, least(b1, b2) as bound from (select g, k, null::bigint as found from ({ASKS}) union all select user_id, event_id, event_id from events)) where found is null")
+def idx_lower_bounds_asof_all(spark, sf):
+    """idx_lower_bounds_asof, asked by all customers."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("k"))
+    asks = table(spark, sf, "customer").select(F.col("c_custkey").alias("g"), (F.col("c_custkey") * 7).alias("k"))
+    return index.lower_bounds(events, "k", asks, within="g")
+
+
 @query(f"select min(k) as first_key, max(k) as last_key from ({P})")
 def idx_first_last(spark, sf):
     return index.first_last(parts_index(spark, sf), "k")

@@ -1,7 +1,11 @@
 """Queries ask for all rows."""
 
+import random
+
 import pytest
 
+import __spark_entry__  # noqa: F401
+from tidemark.operators import greedy
 from tidemark.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -14,3 +18,29 @@ def test_all_customers_ask(spark):
         events.setdefault(r[0], []).append(r[1])
     asks = [r[0] for r in spark.read.parquet(f"{FOLDER}/customer.parquet").select("c_custkey").collect()]
     assert got == {c: min((e for e in events.get(c, []) if e >= 7 * c), default=None) for c in asks} and len(asks) > 150
+
+
+@pytest.mark.parametrize("name", ["blk_firstfit", "blk_fixed_alloc_all"])
+def test_all_documents_ask(spark, name):
+    docs = {r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()}
+    assert {r["seq"] for r in QUERIES[name](spark, FOLDER).collect()} == docs
+
+
+def test_first_fit_equals_a_scan(spark):
+    rnd = random.Random(3)
+    asks = [(c, s, rnd.randint(1, 9)) for c in (0, 1, 2) for s in range(60)]
+    free = [(c, 20 * i, rnd.randint(1, 8)) for c in (0, 1) for i in range(45)]
+    space = {c: [[b, n] for d, b, n in free if d == c] for c in (0, 1, 2)}
+    want = []
+    for c, s, need in asks:
+        whole = [x for x in space[c] if x[1] >= need][:1]
+        some, left, taken = whole or [x for x in space[c] if x[1]][:6], need, []
+        for x in some:
+            taken.append((x, min(left, x[1])))
+            left -= taken[-1][1]
+        taken = [] if left else [(x, n) for x, n in taken if n]
+        want += [(c, s, need, k, x[0], n) for k, (x, n) in enumerate(taken)] or [(c, s, need, None, None, None)]
+        for x, n in taken:
+            x[0], x[1] = x[0] + n, x[1] - n
+    got = greedy.first_fit(spark.createDataFrame(asks, "chunk int, seq long, nblks long"), spark.createDataFrame(free, "chunk int, blk_num long, free_blks long"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

@@ -39,6 +39,31 @@ def folded(rows: DataFrame, by: list[str], order: str, size: str, limit: int, re
     return rows.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
 
 
+class Room:
+    """Free extents in order; the first that has ``need`` blocks left is found from maxima over halves."""
+
+    def __init__(self, sizes: list[int]) -> None:
+        self.n = 1 << max(0, len(sizes) - 1).bit_length()
+        self.most = [0] * self.n + sizes + [0] * (self.n - len(sizes))
+        for i in range(self.n - 1, 0, -1):
+            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+
+    def first(self, need: int) -> int | None:
+        if self.most[1] < need:
+            return None
+        i = 1
+        while i < self.n:
+            i = 2 * i if self.most[2 * i] >= need else 2 * i + 1
+        return i - self.n
+
+    def take(self, at: int, n: int) -> None:
+        i = at + self.n
+        self.most[i] -= n
+        while i > 1:
+            i //= 2
+            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+
+
 def first_fit(requests: DataFrame, free: DataFrame, pieces: int = 6) -> DataFrame:
     """Serve block requests (chunk, seq, nblks) from free extents (chunk, blk_num, free_blks), in order of seq.
 
@@ -49,23 +74,28 @@ def first_fit(requests: DataFrame, free: DataFrame, pieces: int = 6) -> DataFram
     schema = "chunk int, seq long, nblks long, piece int, blk_num long, count long"
 
     def run(key: tuple, asks: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        space = [[int(a), int(n)] for a, n in zip(*have.sort_values("blk_num")[["blk_num", "free_blks"]].to_numpy().T)] if len(have) else []
+        have = have.sort_values("blk_num")
+        begin, room = have["blk_num"].tolist(), Room(have["free_blks"].tolist())
         out = []
         for seq, need in asks.sort_values("seq")[["seq", "nblks"]].itertuples(index=False, name=None):
-            whole = next((s for s in space if s[1] >= need), None)
+            whole = room.first(need)
             taken, left = [], need
-            for s in [whole] if whole else [s for s in space if s[1]][:pieces]:
-                n = min(left, s[1])
-                taken.append((s, n))
-                left -= n
-                if not left:
+            while left and len(taken) < (pieces if whole is None else 1):
+                at = room.first(1) if whole is None else whole
+                if at is None:
                     break
+                n = min(left, room.most[at + room.n])
+                taken.append((at, n))
+                room.take(at, n)
+                left -= n
             if left:
+                for at, n in taken:
+                    room.take(at, -n)
                 out.append((key[0], seq, need, None, None, None))
                 continue
-            for k, (s, n) in enumerate(taken):
-                out.append((key[0], seq, need, k, s[0], n))
-                s[0], s[1] = s[0] + n, s[1] - n
+            for k, (at, n) in enumerate(taken):
+                out.append((key[0], seq, need, k, begin[at], n))
+                begin[at] += n
         return pd.DataFrame(out, columns=["chunk", "seq", "nblks", "piece", "blk_num", "count"]).astype({"piece": "Int32", "blk_num": "Int64", "count": "Int64"})
 
     return requests.groupBy("chunk").cogroup(free.groupBy("chunk")).applyInPandas(run, schema)

@@ -238,6 +238,13 @@ def blk_fixed_alloc(spark, sf):
     return blocks.fixed_alloc(extents(spark, sf).where("seq % 4 = 1").select("chunk", "seq"), free)
 
 
+@query(f"select r.chunk, r.seq, f.blk_num from (select chunk, seq, row_number() over (partition by chunk order by seq) n from ({X})) r left join (select chunk, blk_num, row_number() over (partition by chunk order by blk_num) n from ({GAPS})) f on f.chunk = r.chunk and f.n = r.n")
+def blk_fixed_alloc_all(spark, sf):
+    """blk_fixed_alloc, asked by all documents."""
+    free = blocks.free_gaps(_used(spark, sf), CAP).select("chunk", F.col("blk_num").alias("queue"), "blk_num")
+    return blocks.fixed_alloc(extents(spark, sf).select("chunk", "seq"), free)
+
+
 @query("select n_nationkey % 5 as vdev, arg_max(n_nationkey, n_nationkey * 7 % 11 * 1000 - n_nationkey) as chunk, max(n_nationkey * 7 % 11) as available from nation group by 1")
 def blk_most_available(spark, sf):
     n = F.col("n_nationkey")
@@ -246,7 +253,7 @@ def blk_most_available(spark, sf):
 
 @query(None)
 def blk_firstfit(spark, sf):
-    asks = extents(spark, sf).where("seq % 4 = 1")
+    asks = extents(spark, sf)
     return greedy.first_fit(asks.select("chunk", "seq", (F.col("nblks") * 2).alias("nblks")), blocks.free_gaps(_used(spark, sf), CAP))
 
 

@@ -58,6 +58,63 @@ def test_substrings_equal_brute_force(spark, seed, window, size):
     assert got == brute_words(rows, window)
 
 
+def thue_morse(n):
+    """Two words of ``n`` letters that polynomial hashes modulo 2**64 take for one another."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_substrings_tell_colliding_words_apart(spark):
+    one, two = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{rest} {one}"), (2, f"{rest} {two}"), (3, f"{rest} {one}")]
+    got = sorted(map(tuple, substrings.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), 13).collect()))
+    assert got == brute_words(rows, 13) and [r[2] for r in got] == [0, 0, 13]
+
+
+def test_suffixes_tell_colliding_strings_apart(spark):
+    one, two = thue_morse(2048)
+    rows = [(1, "x" + one), (2, "x" + two), (3, "y" + one)]
+    got = sorted(((*r[:4], bytes(r[4])) for r in suffixes.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), 1500).collect()))
+    assert got == brute_bytes(rows, 1500)
+
+
+def test_windows_of_one_hash_are_grouped_by_their_words():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("ab") for _ in range(40)).encode() for _ in range(20)]
+    w = substrings.Words(texts, 4)
+    w.hash = w.hash & np.uint64(3)
+    some = np.flatnonzero(np.arange(len(w.first)) % 3 > 0)
+    seen, want = {}, []
+    for i in some.tolist():
+        want.append(seen.setdefault(tuple(w.ids[w.first[i] : w.first[i] + 4]), i))
+    assert w.leaders(some).tolist() == want
+
+
+def test_slices_of_one_hash_are_grouped_by_their_bytes():
+    rnd = np.random.default_rng(2)
+    data = rnd.integers(97, 99, 3000).astype(np.uint8)
+    begins, sizes = np.sort(rnd.integers(0, 2900, 900)), rnd.integers(1, 12, 900)
+    by = rnd.permutation(900)
+    seen, want = {}, {}
+    for i in by.tolist():
+        want[i] = seen.setdefault(data[begins[i] : begins[i] + sizes[i]].tobytes(), i)
+    for hashes in (np.zeros(900, np.uint64), suffixes.hashed(data, begins, begins + sizes)):
+        order = by[np.argsort(hashes[by], kind="stable")]
+        got = suffixes.leaders(suffixes.words_of(data), begins, sizes, hashes, by)
+        assert got.tolist() == [want[i] for i in range(900)], order
+
+
+def test_messages_grow_with_the_keys_not_with_chunks_times_shards(monkeypatch):
+    from tidemark.llm import exchange
+
+    monkeypatch.setattr(exchange, "CELLS", 64)
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64)
+    sketch = exchange.Sketch(1_000_000, 2)
+    assert sketch.shards == 62_500 and len(sketch.ask(3, keys)) <= 2 * len(keys)
+    assert len(exchange.Met(1 << 40).ask(3, keys)) <= len(keys)
+
+
 def test_substrings_empty_tables(spark):
     for rows in ([], [(1, None, None)], [(1, "", "x"), (1, "", "x")]):
         got = substrings.remove_repeated(spark.createDataFrame(rows, DOCS)).collect()
@@ -89,8 +146,9 @@ def brute_bytes(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,length,size", [(3, 30, 1 << 12), (4, 100, 8 << 20), (5, 100, 1 << 15)])
-def test_suffixes_equal_brute_force(spark, seed, length, size):
+@pytest.mark.parametrize("seed,length,size,hot", [(3, 30, 1 << 12, 1 << 12), (4, 100, 8 << 20, 1 << 12), (5, 100, 1 << 15, 3), (6, 12, 1 << 14, 2)])
+def test_suffixes_equal_brute_force(spark, seed, length, size, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rows = documents(seed, 100)
     got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffixes.remove_repeated(spark.createDataFrame([(d, t, "clash") for d, t in rows], DOCS), length, size).collect()), key=repr)
     want = brute_bytes(rows, length)
@@ -110,7 +168,7 @@ def test_deep_shallow_sorts(seed):
     length = [5, 8, 20, 41, 64, 100, 33, 12][seed]
     at = rnd.integers(0, len(data) - length, 700)
     group = rnd.integers(0, 3, 700)
-    order, new = suffixes.deep_shallow(data, at, group, length, 16)
+    order, new = suffixes.deep_shallow(data, at, group, length, [16, 32][seed % 2])
     keys = [(int(group[i]), data[at[i] : at[i] + length].tobytes()) for i in order]
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(700))
     assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(700)]

@@ -151,13 +151,17 @@ def test_url_model_equals_plain_python(spark):
     rnd = random.Random(2)
     train = [(f"http://h{rnd.randint(1, 9)}.com/fr/{rnd.randint(1, 99)}", "allow") for _ in range(40)] + [(f"http://q{rnd.randint(1, 9)}.com/de/x{rnd.randint(1, 99)}", "block") for _ in range(30)]
     other = ["http://h3.net/fr/12", "http://q3.net/de/x4", "", "http://é.net/"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate([u for u, _ in train] + other)], "page_id long, url string")
+    pages = spark.createDataFrame([(i, u, "a", "b") for i, u in enumerate([u for u, _ in train] + other)], "page_id long, url string, _key string, page string")
     got = {r["url"]: r for r in urls.judge(pages, RULES).collect()}
+    assert got[""]["_key"] == "a" and got[""]["page"] == "b"
+    held = F.pmod(F.xxhash64(F.lit("held"), "url"), F.lit(urls.HELD)) == 0
+    held = {r["url"] for r in pages.where(held).collect()}
+    assert {v for u, v in train if u in held} == {"allow", "block"}
 
     def fit(label):
         seen = {}
         for u, v in train:
-            if v == label:
+            if v == label and u not in held:
                 t = "\x02" * 3 + u + "\x03"
                 for i in range(3, len(t)):
                     for k in range(4):

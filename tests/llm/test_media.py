@@ -130,6 +130,9 @@ def test_shots():
     scene = lambda low: rnd.integers(low, low + 30, (10, 192)).astype(np.uint8)
     assert media.shots(np.concatenate([scene(0), scene(100), scene(200)])) == [0, 10, 20]
     assert media.shots(np.zeros((0, 192), np.uint8)) == [] and media.shots(scene(0)[:1]) == [0]
+    black, white = np.zeros((1, 192), np.uint8), np.full((1, 192), 255, np.uint8)
+    for frames, want in (((black, white), [0, 1]), ((black, white, white), [0, 1]), ((black, black, white), [0, 2]), ((black, black), [0])):
+        assert media.shots(np.concatenate(frames)) == want
 
 
 def test_odd_media(spark):
@@ -144,3 +147,5 @@ def test_odd_media(spark):
     assert [r["status"] for r in out] == ["ok", "ok", *["unsupported"] * 3, None, "unsupported", "unsupported"]
     assert out[1]["samples"] == out[0]["samples"] and out[5]["clips"] is None
     assert media.described(spark.createDataFrame([(1, good)], "id int, media binary")).select(media.feature(F.col("clips"))).first()[0] == "0+2,2+1"  # the last frame is nearly all spaces
+    clash = spark.createDataFrame([(1, good, "x", 7)], "clip int, media binary, _size string, first_frame int")
+    assert [tuple(r)[:4] for r in media.clips(clash).select("clip", "first_frame", "n_frames", "_size").collect()] == [(0, 0, 2, "x"), (1, 2, 1, "x")]

@@ -1,5 +1,6 @@
 """Quality classifier: gradients, held-out accuracy, and odd tables."""
 
+import math
 import random
 import zlib
 
@@ -44,8 +45,40 @@ def test_passages_cover_whole_texts():
     x, counts = quality.passages(data, np.array([0, 5, 0]), np.array([2058, 5, 1024]))
     assert counts.tolist() == [3, 1, 1] and x.shape == (5, quality.FEATURES)
     assert x[0, ord("a")] == x[1, ord("B")] == x[2, ord("7")] == x[4, ord("a")] == 1 and not x[3, :128].any()
-    few, n = quality.passages(np.repeat(data, 40), np.array([0]), np.array([len(data) * 40]), most=8)
-    assert n.tolist() == [8] and len(few) == 8
+    many, n = quality.passages(np.repeat(data, 40), np.array([0]), np.array([len(data) * 40]))
+    assert n.tolist() == [-(-len(data) * 40 // 1024)] and len(many) == n[0]
+
+
+def plain_score(m, text):
+    """A score in plain loops over bytes, passages and units."""
+    z, weights, hidden = [], [], []
+    for a in range(0, max(len(text), 1), quality.PASSAGE):
+        p = text[a : a + quality.PASSAGE]
+        whole = max(len(p), 1)
+        x = [math.sqrt(sum(min(b, 127) == v for b in p) / whole) for v in range(128)]
+        classes = [int(quality._CLASS[b]) for b in p]
+        pairs = list(zip(classes, classes[1:]))
+        x += [math.sqrt(pairs.count((i, j)) / whole) for i in range(9) for j in range(9)]
+        x += [math.log1p(len(p)) / 7, len(zlib.compress(p, 1)) / (len(p) + 20), sum(u == v for u, v in zip(p, p[1:])) / whole, float(len(p) < quality.PASSAGE / 4)]
+        x = [(v - mean) / scale for v, mean, scale in zip(x, m.mean, m.scale)]
+        dot = lambda v, w: sum(float(s) * float(t) for s, t in zip(v, w))
+        h = [math.tanh(dot(x, m.p["w"][:, k]) + m.p["b"][k]) for k in range(quality.WIDTH)]
+        q = [math.tanh(dot(h, m.p["v"][:, k])) / (1 + math.exp(-dot(h, m.p["u"][:, k]))) for k in range(quality.HEADS)]
+        hidden.append(h)
+        weights.append(math.exp(dot(q, m.p["a"])))
+    z = [sum(w * h[k] for w, h in zip(weights, hidden)) / sum(weights) for k in range(quality.WIDTH)]
+    return 1 / (1 + math.exp(-dot(z, m.p["c"]) - float(m.p["d"])))
+
+
+def test_scores_equal_plain_loops(spark, tables):
+    docs, labels = tables[:2]
+    rows = [(10_000, "Some words, " * 400), (10_001, None), (10_002, ""), (10_003, "12 é\n" * 300), (1, "another text of this doc_id")]
+    docs = docs.unionByName(spark.createDataFrame([(d, t, "clash") for d, t in rows], docs.schema))
+    model = quality.learned(docs, labels)
+    again = quality.learned(docs.repartition(7), labels)
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)
+    for r in quality.scored(docs, model).where("doc_id < 12 or doc_id >= 10000").collect():
+        assert r["score"] == pytest.approx(plain_score(model, (r["text"] or "").encode()), abs=1e-5)
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ bar, so ``<|`` never occurs there; taking one away restores the text. A role's l
 backslashes are escaped too, as the role ends with its line. The loss mask is a list of (start, length) in code points
 that covers each text of the trained role, as escaped, and nothing else.
 
-Defined cases: a null text or role is empty; turns are ordered by turn, null first, then role and
+Defined cases: a null text or role is empty; very long texts are kept whole, and a conversation is one row; turns are ordered by turn, null first, then role and
 text, and repeated rows are kept; a null conv_id is a conversation of its own; an empty table gives
 an empty result; further columns are ignored.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 START, STOP, JOINT = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
 TRAINED = "assistant"
+#: Pieces whose lengths are added up for one start: bounds the work of a turn, however long the conversation.
+BLOCK = 64
 
 
 def escape(text: Column) -> Column:
@@ -52,19 +54,16 @@ def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
     ).otherwise(JOINT)
     pieces = F.transform("turns", lambda t, i: F.struct(lead(t, i).alias("lead"), escape(t["text"]).alias("text"), (t["role"] == trained).alias("trained")))
     chats = chats.withColumn("pieces", pieces)
-    # Merge the pieces, keeping the code points passed so far.
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, length: int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["lead"]) + F.char_length(p["text"])).alias("at"),
-            F.when(
-                p["trained"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + F.char_length(p["lead"])).alias("start"), F.char_length(p["text"]).alias("length"))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    # Where a piece starts: the code points of the blocks of pieces before its own, and of the pieces before it in its block.
+    lengths = F.transform("pieces", lambda p: F.char_length(p["lead"]) + F.char_length(p["text"]))
+    chats = chats.withColumn("lengths", lengths)
+    total = lambda values: F.aggregate(values, F.lit(0), lambda a, n: a + n)
+    sums = F.transform(F.expr(f"sequence(0, (size(lengths) - 1) div {BLOCK})"), lambda b: total(F.slice("lengths", b * BLOCK + 1, F.lit(BLOCK))))
+    chats = chats.withColumn("sums", sums)
+    chats = chats.withColumn("before", F.transform("sums", lambda _, b: total(F.slice("sums", F.lit(1), b))))
+    start = lambda i: F.get("before", F.floor(i / BLOCK).cast("int")) + total(F.slice("lengths", F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+    every = F.transform("pieces", lambda p, i: F.struct(p["trained"].alias("trained"), (start(i) + F.char_length(p["lead"])).alias("start"), F.char_length(p["text"]).alias("length")))
+    spans = F.transform(F.filter(every, lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(STOP))
     return chats.select(
         "conv_id", formatted.alias("formatted"), spans.alias("loss_spans"),

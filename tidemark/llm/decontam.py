@@ -5,30 +5,35 @@ it, tracking the length of the longest match that ends at each word. Where that
 window, the words of the window are hit. An item's windows are its runs of ``window`` words, or the
 whole item where it is shorter.
 
-The items are cut into shards of at most ``SHARD_WORDS`` words, whatever their number; one automaton,
-of that bounded size, is sent to the tasks at a time. With several shards the documents are read once
-for each, a block of queries against all rows.
-
-Defined cases: null texts have no words; items without words have no window; rows with one item_id
-count as one item, and a null item_id is listed as empty text; an empty benchmark hits nothing; rows
-with the same doc_id are separate documents; further columns are kept, but for those added.
+The items are cut into shards of at most ``SHARD_WORDS`` words, whatever their number. Tasks build the automata, each of
+bounded size, and all tasks get them. A task reads its documents once, in stretches of bounded size, and takes one
+automaton after the other over a stretch: a block of queries against all rows, with one automaton in memory.
+
+Defined cases: null texts have no words; very long texts are matched whole; items without words have no window; rows with
+one item_id count as one item, and a null item_id is listed as empty text, like an empty one; an empty benchmark hits
+nothing; empty documents give an empty result; rows with the same doc_id are separate documents; further columns are kept,
+but for those added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, texts, utf8, written
 
 #: Words in one automaton at most, but for a longer item: its states, about 400 bytes a word, fit a task.
 SHARD_WORDS = 200_000
+#: Text bytes that an automaton goes over at a time.
+STRETCH = 16 << 20
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -151,50 +156,66 @@ def shards(items: DataFrame, size: int = SHARD_WORDS) -> DataFrame:
 SCHEMA = "n_words long, spans array<struct<start: int, end: int>>, items array<string>"
 
 
-def spans(docs: DataFrame, items: DataFrame, window: int = 13, size: int = SHARD_WORDS) -> DataFrame:
-    """Adds to ``docs``: n_words, spans (maximal hit runs of words) and items (sorted ids of the items found)."""
-    spark = docs.sparkSession
-    items = shards(items.select("item_id", "text"), size).persist()
-    numbers = [r[0] for r in items.select("shard").distinct().collect()]
-    added = [f.split()[0] for f in ("n_words", "spans", "items")]
-    kept = docs.select(*[c for c in docs.columns if c not in added])
-    out = kept
-    for nth, number in enumerate(sorted(numbers) or [None]):
-        rows = items.where(F.col("shard") == number).select(F.col("item_id").cast("string"), "text").collect() if number is not None else []
-        rows = sorted((r[0] or "", (r[1] or "").encode("utf-8", "replace")) for r in rows)  # bounded by the shard's size
-        sent = spark.sparkContext.broadcast(Automaton([(name, w) for name, text in rows if (w := words(text))], window))
-        out = _matched(out, sent, merge=nth > 0)
-    items.unpersist()
-    return out
+def automata(items: DataFrame, window: int) -> list[Broadcast]:
+    """The automaton of each shard, built in a task and sent pickled; the driver holds one at a time, of bounded size."""
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip((i or "" for i in table.column("item_id").to_pylist()), ((t or "").encode("utf-8", "replace") for t in table.column("text").to_pylist())))
+        made = Automaton([(name, w) for name, text in rows if (w := words(text))], window)
+        return pa.table({"body": pa.array([pickle.dumps(made, protocol=5)], pa.binary())})
 
+    made = items.select("shard", F.col("item_id").cast("string").alias("item_id"), "text").groupBy("shard").applyInArrow(build, "body binary")
+    return [items.sparkSession.sparkContext.broadcast(bytes(r["body"])) for r in written(made, "automata").toLocalIterator()]
 
-def _matched(docs: DataFrame, sent, merge: bool) -> DataFrame:
-    kept = [c for c in docs.columns if not merge or c not in ("n_words", "spans", "items")]
+
+def spans(docs: DataFrame, items: DataFrame, window: int = 13, size: int = SHARD_WORDS) -> DataFrame:
+    """Adds to ``docs``: n_words, spans (maximal hit runs of words) and items (sorted ids of the items found)."""
+    sent = automata(shards(items.select("item_id", "text"), size), window)
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), SCHEMA])
 
+    def opened() -> Iterator[Automaton]:
+        for one in sent:
+            yield pickle.loads(one.value)
+            one.__dict__.pop("_value", None)  # read anew where it is needed next, so that one is in memory at a time
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = sent.value
-        for batch in slices(batches, "text", 8 << 20):
-            counts, hits, names = [], [], []
-            before = [batch.column(c).to_pylist() for c in ("spans", "items")] if merge else None
-            for k, text in enumerate(texts(batch.column("text"))):
-                document = words(text)
-                runs, found = automaton.match(document)
-                items = sorted(automaton.names[i] for i in found)
-                if merge:
-                    runs = joined(sorted([*runs, *((s["start"], s["end"]) for s in before[0][k])]))
-                    items = sorted({*items, *before[1][k]})
-                counts.append(len(document))
-                hits.append([{"start": a, "end": b} for a, b in runs])
-                names.append(items)
+        """Stretches of about ``STRETCH`` text bytes at a time; each automaton goes over a stretch before the next is opened."""
+        only = next(opened()) if len(sent) == 1 else None
+        for batch in gathered(slices(batches, "text", STRETCH), STRETCH):
+            documents = texts(batch.column("text"))
+            counts, hits, names = [0] * len(documents), [[] for _ in documents], [set() for _ in documents]
+            for automaton in [only] if only else opened():
+                for k, text in enumerate(documents):
+                    document = words(text)
+                    runs, found = automaton.match(document)
+                    counts[k] = len(document)
+                    hits[k] += runs
+                    names[k].update(automaton.names[i] for i in found)
+            if not sent:
+                counts = [len(words(text)) for text in documents]
             arrays = [batch.column(c) for c in kept] + [
                 pa.array(counts, pa.int64()),
-                pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                pa.array(names, pa.list_(pa.string())),
+                pa.array([[{"start": a, "end": b} for a, b in joined(sorted(runs))] for runs in hits], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                pa.array([sorted(found) for found in names], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring record batches as one of about ``most`` text bytes."""
+    held, size = [], 0
+    for batch in batches:
+        _, starts, ends = utf8(batch.column("text"))
+        held.append(batch)
+        size += int((ends - starts).sum())
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

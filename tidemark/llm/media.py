@@ -10,9 +10,9 @@ The decoder handles baseline grey JPEG: Huffman tables, quantisation and restart
 gives them, and any coefficients; the frames of a batch are decoded side by side, one symbol of each
 at a time. Other media (colour, progressive, not AVI) give the status ``unsupported``.
 
-Defined cases: a null text is empty, and makes one frame of spaces; equal bytes give equal media; media
-without frames give no clip; a null medium has nulls and no clip; an empty table gives an empty result;
-further columns are kept, but for those of the names that are added.
+Defined cases: a null text is empty, and makes one frame of spaces; a very long text makes as many frames as it takes,
+whole; equal bytes, ties and repeated rows give equal media; media without frames give no clip; a null medium has nulls
+and no clip; an empty table gives an empty result; further columns are kept, but for those of the names that are added.
 """
 
 from __future__ import annotations
@@ -381,8 +381,8 @@ def shots(frames: np.ndarray) -> list[int]:
     total = np.concatenate(([0.0], np.cumsum(diff)))
     k = np.arange(len(diff))
     low = np.maximum(k - RECENT, 0)
-    mean = (total[k] - total[low]) / np.maximum(k - low, 1)
-    return [0, *((np.flatnonzero((diff > FLOOR) & (diff > TIMES * mean) & (k > 0)) + 1).tolist())]
+    mean = (total[k] - total[low]) / np.maximum(k - low, 1)  # nothing lately before the second frame: 0
+    return [0, *((np.flatnonzero((diff > FLOOR) & (diff > TIMES * mean)) + 1).tolist())]
 
 
 READ = "status string, samples binary, clips array<struct<clip: int, first_frame: int, n_frames: int, start_s: double, end_s: double>>"
@@ -418,11 +418,11 @@ def described(media: DataFrame, column: str = "media") -> DataFrame:
 def clips(media: DataFrame, column: str = "media") -> DataFrame:
     """Timed clip rows: the other columns, clip, first_frame, n_frames, start_s, end_s and samples of the clip."""
     out = described(media, column)
-    others = [c for c in media.columns if c not in (column, "status", "samples", "clips")]
+    added = ["clip", "first_frame", "n_frames", "start_s", "end_s"]
+    others = [c for c in media.columns if c not in (column, "status", "samples", "clips", *added)]
     size = F.octet_length("samples") / F.greatest(F.element_at("clips", -1)["first_frame"] + F.element_at("clips", -1)["n_frames"], F.lit(1))
-    out = out.select(*others, size.cast("int").alias("_size"), "samples", F.explode("clips").alias("_clip"))
-    own = F.substring(F.col("samples"), F.col("_clip.first_frame") * F.col("_size") + 1, F.col("_clip.n_frames") * F.col("_size"))
-    return out.select(*others, "_clip.*", own.alias("samples"))
+    cut = F.transform("clips", lambda c: F.struct(*(c[f].alias(f) for f in added), F.substring("samples", c["first_frame"] * size.cast("int") + 1, c["n_frames"] * size.cast("int")).alias("samples")))
+    return out.select(*others, F.inline(cut))
 
 
 def feature(cuts: Column) -> Column:

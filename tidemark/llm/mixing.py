@@ -5,13 +5,15 @@ sources map the point to a source. The slots of a source are ranked, and slot ``
 ``r mod n`` of the ``n`` equal-token blocks into which the shuffled documents of the source are cut.
 Because the points have low discrepancy, every stretch of the mix follows the weights.
 
-Defined cases: a null text has size 0; a null source is a source of its own, the last one; documents
+Defined cases: a null text has size 0; a very long text is laid over as many blocks as it takes; a null source is a source of its own, the last one; documents
 of size 0 take part with ``taken`` 0; rows with the same ``doc_id`` are separate documents; an empty
 table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ BLOCK = 256
 WEIGHTS = (3, 1, 2)
 #: Points are multiples of 2**-31; the odd number next to 2**31 / golden ratio steps through them.
 RANGE, STEP = 1 << 31, 1327217885
-#: Slots in a chunk of the schedule, cells of the unit interval, parts of a source: bounds of a window's rows.
+#: Slots in a chunk of the schedule, cells of the unit interval, parts of a source: the least; they grow with the input.
 CHUNK, CELLS, PARTS = 4096, 4096, 1024
 
 
@@ -59,6 +61,8 @@ def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     reached; the few that the sequence leaves out, at most its discrepancy, follow at the end.
     """
     spark = goals.sparkSession
+    # As many slots in a chunk as chunks, and a few sources a cell: no window and no key of a join grows in proportion.
+    chunk, cells = max(CHUNK, math.isqrt(slots)), max(CELLS, 4 * goals.count())
     goal = (
         goals.where("source_size > 0")
         .withColumn("words", F.least(F.round("target").cast("long"), 2 * F.col("source_size")))
@@ -72,7 +76,7 @@ def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     high = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / total
     goal = goal.withColumn("high", F.least(high, F.lit(1.0))).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
     goal = goal.withColumn("high", F.when(F.lead("high").over(order).isNull(), F.lit(1.0)).otherwise(F.col("high")))
-    cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS - 1)).cast("long")
+    cell = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1)).cast("long")
     arcs = goal.select("source", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
     point = (F.col("id") + 1) % RANGE * STEP % RANGE / RANGE
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("x"))
@@ -80,7 +84,7 @@ def schedule(goals: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
         points.withColumn("cell", cell(F.col("x")))
         .join(arcs, "cell")
         .where("x >= low and x < high")
-        .select("slot", "source", F.expr(f"slot div {CHUNK}").alias("chunk"))
+        .select("slot", "source", F.expr(f"slot div {chunk}").alias("chunk"))
     )
     # Rank in two steps, so that no task orders all slots of a large source.
     counts = drawn.groupBy("source", "chunk").agg(F.count("*").alias("n"))
@@ -110,7 +114,8 @@ def blocks(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     Adds ``start``, the words before the document in its source. The sums are taken over parts of a
     source first, so no task gets all documents of one.
     """
-    docs = sizes.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("part", F.expr(f"pmod(h, {PARTS})"))
+    parts = max(PARTS, math.isqrt(sizes.count()))  # as many documents in a part as parts, if one source has nearly all
+    docs = sizes.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id", "size")).withColumn("part", F.expr(f"pmod(h, {parts})"))
     sums = docs.groupBy("source", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

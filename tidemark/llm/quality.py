@@ -6,13 +6,14 @@ attention gives each passage a weight, learned from the documents' labels alone,
 the encodings gives the score. All passages of every text are encoded; only fitting is on a sample.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, those with the least hash of their doc_id;
-that bound is a parameter. A sampled document of more than ``BAG`` passages takes part in the fitting with
-``BAG`` of them, evenly spread, so the sample's size is bounded too; scores always use all passages.
-
-Defined cases: a null or empty text is one empty passage; labels that are null are left out, and a
-doc_id with several labels has their mean; without labels of both kinds every score is the mean label,
-or 1/2 without any; rows with the same doc_id are separate documents; a null doc_id has no label; an empty
-table gives an empty result; further columns are kept, but for those of the names that are added.
+that bound is a parameter. Fitting, like scoring, uses every passage of them; their features, in half precision, are what
+the driver gets.
+
+Defined cases: a null or empty text is one empty passage; a very long text is taken whole, all its passages; labels that
+are null are left out, and a doc_id with several labels has their mean; without labels of both kinds every score is the mean
+label, or 1/2 without any; rows with the same doc_id are separate documents, and of those with a label the least text is
+learned from; a null doc_id has no label; an empty table gives an empty result; further columns are kept, but for those of
+the names that are added.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ranges, slices, utf8
 
-PASSAGE, SAMPLE, BAG = 1024, 8000, 32
+PASSAGE, SAMPLE = 1024, 8000
 #: Width of the encoding and of the attention.
 WIDTH, HEADS = 32, 16
 
@@ -47,16 +48,11 @@ _N = 9
 FEATURES = 128 + _N * _N + 4
 
 
-def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of the passages of texts, and how many passages each has."""
     counts = np.maximum(-(-(ends - starts) // PASSAGE), 1)
     begin = np.repeat(starts, counts) + ranges(np.zeros(len(counts), np.int64), counts) * PASSAGE
     stop = np.minimum(begin + PASSAGE, np.repeat(ends, counts))
-    if most is not None and len(counts) and counts.max() > most:
-        nth = ranges(np.zeros(len(counts), np.int64), counts)
-        of = np.repeat(counts, counts)
-        keep = (nth * most // of != (nth - 1) * most // of) | (of <= most)
-        begin, stop, counts = begin[keep], stop[keep], np.minimum(counts, most)
     size = stop - begin
     n = len(begin)
     spots = ranges(begin, size)
@@ -122,7 +118,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 30, batc
     init = lambda *s: rnd.normal(0, 1 / np.sqrt(s[0]), s)
     rest = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     p = {"w": init(x.shape[1], WIDTH), "b": np.zeros(WIDTH), "v": init(WIDTH, HEADS), "u": init(WIDTH, HEADS), "a": init(HEADS), "c": init(WIDTH) * 0.1, "d": np.array(np.log(rest / (1 - rest)))}
-    model = Model(x.mean(0).astype(np.float64), x.std(0) + 1e-2, p)
+    model = Model(x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2, p)
     first = np.cumsum(counts) - counts
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
@@ -131,7 +127,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 30, batc
         for at in range(0, len(y), batch):
             own, step = order[at : at + batch], step + 1
             rows = ranges(first[own], counts[own])
-            o = model.forward(x[rows], counts[own])
+            o = model.forward(x[rows].astype(np.float64), counts[own])
             for k, g in model.gradient(o, counts[own], y[own]).items():
                 g = g + decay * p[k] * (k not in "bd")
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -159,16 +155,18 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
         return float(np.mean(list(known.values())))
     sent = docs.sparkSession.createDataFrame(list(known.items()), "doc_id long, y double")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sent), "doc_id")
+    # Of rows that share a doc_id the least text, so that reruns fit the same model.
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            x, counts = passages(*utf8(batch.column("text")), most=BAG)
+            x, counts = passages(*utf8(batch.column("text")))
             ends = np.cumsum(counts).tolist()
-            values = [x[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+            values = [x[a:b].astype(np.float16).tobytes() for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(values, pa.binary())], names=["doc_id", "y", "x"])
 
-    bags = sorted(rows.mapInArrow(run, "doc_id long, y double, x binary").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
-    x = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in bags]
+    bags = sorted(rows.mapInArrow(run, "doc_id long, y double, x binary").collect(), key=lambda r: r["doc_id"])
+    x = [np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in bags]
     return fit(np.concatenate(x), np.array([len(b) for b in x]), np.array([float(r["y"] >= 0.5) for r in bags]))
 
 

@@ -12,7 +12,7 @@ found; connected components follow by star contraction.
 Copies share a fingerprint and are searched once. A posting list of more than ``LIST`` fingerprints is
 cut into blocks, and each pair of blocks is verified by itself.
 
-Defined cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than
+Defined cases: a null or empty text has fingerprint zero and is linked like any other; a very long text is taken whole; fewer words than
 a shingle make one shingle of all of them; a null doc_id is no component's name unless all are null;
 rows with the same doc_id are separate documents; an empty table gives an empty result; further columns
 are ignored.
@@ -140,7 +140,8 @@ def allocated(n: int, sums: np.ndarray, groups: list[list[int]], distance: int)
             near[1:] = near[1:] * (1 - q) + near[:-1] * q
             near[0] *= 1 - q
         probes = sum(math.comb(len(group), k) for k in range(t + 1))
-        return n * (1.0 + probes) + PAIR * float(n) * n * float(near.sum())
+        some = max(n, 1)  # without fingerprints a plan is made all the same: the one with the fewest probes
+        return some * (1.0 + probes) + PAIR * float(some) * some * float(near.sum())
 
     best = {0: (0.0, [])}  # sum of (t + 1) so far: work, thresholds
     for group in groups:

@@ -30,7 +30,7 @@ from .common import ranges
 from .exchange import BLOCK_BYTES, CHUNK_BYTES, FIRST, MAIL, Sketch, U, chunks, divided, least, loaded, mail, mixed, opened, packed, unpacked
 
 #: Bytes of a core, starts in a segment, and the depth to which multikey quicksort goes.
-CORE, STEP, SHALLOW = 20, 16, 32
+CORE, STEP, SHALLOW = 20, 32, 32
 #: Segments in a shard of the sorting step, about, if all were repeated; segments of a key that one shard gets.
 SHARD, HOT = 1 << 18, 1 << 12
 _PLACE = U((1 << 20) - 1)  # a block is shorter than this

@@ -2,13 +2,13 @@
 
 Texts are encoded by a public tokenizer and an end id is appended. Documents go to shards in ascending
 doc_id order. A shard's ids are compressed by a grammar: again and again the frequent pairs of ids are
-replaced by nonterminals. The file keeps the rules, the remaining sequence and, for random access, how
+replaced by nonterminals, until no pair occurs ``LEAST`` times. The file keeps the rules, the remaining sequence and, for random access, how
 many ids every ``STRIDE`` symbols expand to, besides the place and length of each document.
 
 A shard is one binary value in a Parquet table, written by Spark's committer, so a lost executor's
 attempt leaves nothing behind; file format of the value: see ``pack``.
 
-Defined cases: a null text is empty and gives the end id alone; rows with the same doc_id follow one
+Defined cases: a null text is empty and gives the end id alone; a very long text is encoded whole and lies in one shard; rows with the same doc_id follow one
 another in order of their text; a null doc_id comes first; an empty table makes no shard; further
 columns are ignored.
 """
@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, texts
+from .common import ranges, shared_folder, slices, texts
 
-#: Rounds of pair replacement, new nonterminals of a round at most, and how often a pair must occur.
-ROUNDS, RULES, LEAST = 3, 4096, 8
+#: How often a pair must occur to be replaced: a rule takes 8 bytes, and each replacement saves a symbol of 2 bytes or more.
+LEAST = 5
 #: Symbols between two entries of the random-access index; ids of a shard, whose tables of pairs fit a core's cache; text bytes of a task.
 STRIDE, SHARD_IDS, PART_BYTES = 1024, 1 << 19, 16 << 20
 MAGIC = b"RPID0001"
@@ -139,56 +139,70 @@ def encoder(path: str) -> Encoder:
 # -- Re-Pair
 
 
-def replaced(seq: np.ndarray, first_new: int, least: int = LEAST, rules: int = RULES) -> tuple[np.ndarray, np.ndarray]:
+def counted(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times or more, how often, and for each place of the sequence its pair's number, or -1.
+
+    A table of hashed slots leaves out the places whose slot is rarer; those that are left are counted by the pairs themselves.
+    """
+    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    width = max(12, len(seq).bit_length())
+    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - width)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << width) >= least)[slot])
+    own, back, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
+    frequent = n >= least
+    number = np.full(len(pairs), -1, np.int64)
+    number[at] = np.where(frequent, np.cumsum(frequent) - 1, -1)[back]
+    return own[frequent], n[frequent], number
+
+
+def replaced(seq: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """One round: the sequence with frequent pairs replaced, and the pairs of the new symbols, two columns.
 
-    Pairs are counted in a table of hashed slots; each chosen slot stands for one pair that falls in it.
-    Pairs that overlap are replaced from the left, every other one.
+    Where pairs overlap, the more frequent one is replaced, and of equal ones the first, third, and so on. A pair that
+    is left with fewer than ``least`` places by that waits for a later round, where it is counted anew.
     """
+    none = np.zeros((0, 2), np.uint32)
     if len(seq) < 2:
-        return seq, np.zeros((0, 2), np.uint32)
-    # Pairs of 16-bit symbols are kept in 32 bits, others in 64.
-    half, kind, factor = (16, np.uint32, 0x9E3779B1) if int(seq.max()) < 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
-    pairs = seq[:-1].astype(kind) << kind(half) | seq[1:]
-    width = max(12, len(seq).bit_length() - 1)
-    slot = (pairs * kind(factor) >> kind(2 * half - width)).astype(np.int64)
-    counts = np.bincount(slot, minlength=1 << width)
-    bar = max(least, int(np.partition(counts, -min(rules, len(counts)))[-min(rules, len(counts))]))
-    chosen = np.flatnonzero(counts >= bar)
-    chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:rules]
-    if not len(chosen):
-        return seq, np.zeros((0, 2), np.uint32)
-    symbol = np.zeros(1 << width, np.int32)
-    symbol[chosen] = np.arange(1, len(chosen) + 1)
-    at = np.flatnonzero(symbol[slot])
-    stands = np.zeros(1 << width, kind)
-    stands[slot[at]] = pairs[at]
-    at = at[stands[slot[at]] == pairs[at]]
-    # In a row of places side by side, take the first, third, and so on.
+        return seq, none
+    pairs, n, number = counted(seq, least)
+    if not len(pairs):
+        return seq, none
+    # Each place's rank by how frequent its pair is, 0 first; places beside a better one give way.
+    rank = np.empty(len(pairs), np.int64)
+    rank[np.lexsort((pairs, -n))] = np.arange(len(pairs))
+    worst = len(pairs)
+    own = np.where(number >= 0, rank[number], worst)
+    left, right = np.concatenate(([worst], own[:-1])), np.concatenate((own[1:], [worst]))
+    at = np.flatnonzero((own < worst) & (own <= left) & (own <= right))
+    # In a row of equal places side by side, take the first, third, and so on.
     head = np.concatenate(([True], at[1:] != at[:-1] + 1))[: len(at)]
     start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
     at = at[(np.arange(len(at)) - start) % 2 == 0]
-    which = symbol[slot[at]] - 1
-    hit = np.bincount(which, minlength=len(chosen)) > 0
-    used = np.flatnonzero(hit)
+    kept = np.bincount(number[at], minlength=len(pairs)) >= least
+    # The most frequent pair is always replaced, however its places overlap, so that rounds come to an end.
+    kept[rank == 0] |= np.bincount(number[at], minlength=len(pairs))[rank == 0] > 1
+    at = at[kept[number[at]]]
+    if not len(at):
+        return seq, none
     out = seq.copy()
-    out[at] = (first_new + np.cumsum(hit) - 1).astype(np.uint32)[which]
+    out[at] = (first_new + np.cumsum(kept) - 1).astype(np.uint32)[number[at]]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
-    pair = stands[chosen[used]]
-    return out[keep], np.stack([pair >> kind(half), pair & kind((1 << half) - 1)], 1).astype(np.uint32)
+    pair = pairs[kept]
+    return out[keep], np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """First nonterminal, rules (two symbols each, made of earlier ones) and the remaining sequence."""
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
+    """First nonterminal, rules (two symbols each, made of earlier ones) and the sequence that remains when no pair is frequent."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    rules, seq = np.zeros((0, 2), np.uint32), ids.astype(np.uint32)
-    for _ in range(rounds):
-        seq, more = replaced(seq, first + len(rules))
+    rules, seq = [np.zeros((0, 2), np.uint32)], ids.astype(np.uint32)
+    n = 0
+    while True:
+        seq, more = replaced(seq, first + n, least)
         if not len(more):
-            break
-        rules = np.concatenate((rules, more))
-    return first, rules, seq
+            return first, np.concatenate(rules), seq
+        rules.append(more)
+        n += len(more)
 
 
 class Expansion:
@@ -223,21 +237,18 @@ class Expansion:
         small = seq < self.first
         out[begin[small]] = seq[small]
         big = np.flatnonzero(~small)
-        for n in range(2, int(self.lengths.max(initial=1)) + 1):
-            own = big[sizes[big] == n]
-            from_ = self.starts[seq[own] - self.first]
-            for k in range(n):
-                out[begin[own] + k] = self.ids[from_ + k]
+        if len(big):
+            out[ranges(begin[big], sizes[big])] = self.ids[ranges(self.starts[seq[big] - self.first], sizes[big])]
         return out
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS) -> bytes:
+def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A shard as bytes, all numbers little-endian.
 
     Magic; then as 64-bit numbers: ids, documents, first nonterminal, rules, symbols, bytes a symbol (2 or 4);
     documents' lengths (32-bit); rules (pairs of 32-bit); ids before every STRIDE-th symbol (64-bit); symbols.
     """
-    first, rules, seq = compress(ids, rounds)
+    first, rules, seq = compress(ids)
     wide = 2 if first + len(rules) <= 1 << 16 else 4
     sizes = Expansion(first, rules).sizes(seq)
     before = np.concatenate(([0], np.cumsum(sizes)))[: len(seq) : STRIDE] if len(seq) else np.zeros(0)
@@ -281,7 +292,7 @@ class Shard:
 # -- files
 
 
-def write(docs: DataFrame, folder: str, path: str, end: int, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS) -> None:
+def write(docs: DataFrame, folder: str, path: str, end: int, shard_ids: int = SHARD_IDS) -> None:
     """Write the documents' ids to ``folder`` as a table: shard, n_ids, doc_ids, body.
 
     Texts are ranged by doc_id, so that a task sees a range of documents in order; each task encodes its
@@ -299,7 +310,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, shard_ids: int = SH
 
         def shard() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in ids])
-            body = pack(np.frombuffer(b"".join(ids), "<u4"), lengths, rounds)
+            body = pack(np.frombuffer(b"".join(ids), "<u4"), lengths)
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + nth]), pa.array([int(lengths.sum())]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([body], pa.binary())],
                 names=["shard", "n_ids", "doc_ids", "body"],

@@ -4,17 +4,23 @@ URLs that a rule allows or blocks train two variable-order Markov models of char
 verdict. Both are smoothed by interpolation: a context of ``k`` characters that was seen ``n`` times
 with ``t`` different next characters gives ``(count + t * lower) / (n + t)``, where ``lower`` is the
 estimate of the context with one character less, and 1/256 below the empty one. The score of a URL is
-the mean over its characters, and its end, of the log ratio; the cut between the verdicts lies where
-the scores of allowed and blocked training URLs, taken as normal, are as many deviations away.
+the mean over its characters, and its end, of the log ratio. One in ``HELD`` training URLs, by hash, is left out of the
+models; the cut between the verdicts lies where the scores of the allowed and the blocked ones of those, taken as normal,
+are as many deviations away (of all training URLs, where those left out lack a verdict).
+
+Grams that make up a thousandth of all positions or more, at most a thousand of them, are broadcast; the others are joined
+by a shuffle in which no gram has a larger part than that.
 
 Defined cases: a null url or one without ``://`` has empty host and path, so no rule fits, and is
-judged by the model as the text that it is (null: empty); equal urls get equal verdicts; rules of
+judged by the model as the text that it is (null: empty); a very long url is scored whole; equal urls get equal verdicts; rules of
 equal length that disagree block; without training URLs of both verdicts the model allows all; an
 empty table gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,8 @@ ORDER = 3
 #: Marks before and after a url, so that each position has a full gram: control characters.
 HEAD, END = "\x02", "\x03"
 UNSEEN = 1.0 / 256
+#: One in so many training URLs calibrates; a gram with one in so many positions is frequent.
+HELD, FREQUENT = 5, 1000
 
 
 def host_of(url: Column) -> Column:
@@ -91,30 +99,41 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], order: int = ORDER) -> DataFrame:
     """Adds host, path, rule, verdict and score (null where a rule decides) to ``pages``."""
-    hit = rule_of(F.col("_host"), F.col("_path"), rules)
     url = F.coalesce("url", F.lit(""))
+    fits = lambda c: rule_of(host_of(c), path_of(c), rules)
     distinct = pages.groupBy(url.alias("url")).agg(F.count("*").alias("n"))
-    distinct = distinct.select("url", "n", host_of(F.col("url")).alias("_host"), path_of(F.col("url")).alias("_path"))
-    distinct = written(distinct.withColumn("hit", hit).select("url", "n", F.col("hit.verdict").alias("label")), "urls")
+    held = F.pmod(F.xxhash64(F.lit("held"), "url"), F.lit(HELD)) == 0
+    distinct = written(distinct.select("url", "n", fits(F.col("url"))["verdict"].alias("label"), held.alias("held")), "urls")
     each = grams(distinct, order)
-    n = lambda v: F.sum(F.when(F.col("label") == v, F.col("n")).otherwise(0))
-    counts = written(each.groupBy("gram").agg(n("allow").alias("allow"), n("block").alias("block")), "url-grams")
-    ratios = written(model(counts, order), "url-model")
-    scores = each.join(ratios, "gram").groupBy("url", "n", "label").agg(F.avg("ratio").alias("score"))
-    scores = written(scores, "url-scores")
-    fit = {r["label"]: r for r in scores.where("label is not null").groupBy("label").agg(
-        (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), F.coalesce(F.stddev("score"), F.lit(0.0)).alias("dev")
-    ).collect()}  # fmt: skip  # two rows
+    n = lambda v: F.sum(F.when((F.col("label") == v) & ~F.col("held"), F.col("n")).otherwise(0))
+    counts = written(each.groupBy("gram").agg(n("allow").alias("allow"), n("block").alias("block"), F.count("*").alias("seen")), "url-grams")
+    ratios = written(model(counts, order).join(counts.select("gram", "seen"), "gram"), "url-model")
+    positions = counts.agg(F.sum("seen")).first()[0] or 0
+    often = F.col("seen") * FREQUENT >= positions
+    frequent, rare = F.broadcast(ratios.where(often).select("gram", "ratio")), ratios.where(~often).select("gram", "ratio")
+    met = each.join(frequent, "gram").unionByName(each.join(frequent, "gram", "left_anti").join(rare.hint("merge"), "gram"))
+    scores = written(met.groupBy("url", "n", "label", "held").agg(F.avg("ratio").alias("score")), "url-scores")
+    apart = scores.where("label is not null").groupBy("label", "held").agg(
+        F.sum("n").alias("n"), F.sum(F.col("score") * F.col("n")).alias("sum"), F.count("*").alias("urls"), F.sum("score").alias("one"), F.sum(F.col("score") * F.col("score")).alias("two")
+    ).collect()  # fmt: skip  # four rows
+    if {"allow", "block"} <= {r["label"] for r in apart if r["held"]}:
+        apart = [r for r in apart if r["held"]]
+    fit = {}
+    for v in {r["label"] for r in apart}:
+        size, sum_, k, one, two = (sum(r[c] for r in apart if r["label"] == v) for c in ("n", "sum", "urls", "one", "two"))
+        fit[v] = {"mean": sum_ / size, "dev": math.sqrt(max(two - one * one / k, 0.0) / (k - 1)) if k > 1 else 0.0}
     if {"allow", "block"} <= fit.keys():
         a, b = fit["allow"], fit["block"]
         spread = a["dev"] + b["dev"]
         cut = (a["mean"] * b["dev"] + b["mean"] * a["dev"]) / spread if spread else (a["mean"] + b["mean"]) / 2
     else:
         cut = float("-inf")
-    judged = scores.where("label is null").select(F.col("url").alias("_key"), F.col("score").alias("_score"))
-    out = pages.withColumn("_key", url).withColumn("_host", host_of(F.col("url"))).withColumn("_path", path_of(F.col("url"))).withColumn("_hit", hit)
+    # The caller's columns are kept in one struct, so that none of their names clashes.
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    return out.join(judged, "_key", "left").select(
-        *keep, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_hit.rule").alias("rule"),
-        F.coalesce(F.col("_hit.verdict"), F.when(F.col("_score") >= F.lit(cut), "allow").otherwise("block")).alias("verdict"), F.col("_score").alias("score"),
+    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"), url.alias("key"))
+    out = out.withColumns({"host": host_of(F.col("page.url")), "path": path_of(F.col("page.url")), "hit": fits(F.col("page.url"))})
+    judged = scores.where("label is null").select(F.col("url").alias("key"), "score")
+    return out.join(judged, "key", "left").select(
+        *[F.col(f"page.`{c}`").alias(c) for c in keep], "host", "path", F.col("hit.rule").alias("rule"),
+        F.coalesce(F.col("hit.verdict"), F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")).alias("verdict"), "score",
     )

@@ -47,7 +47,8 @@ def test_re_pair_round_trip(seed):
         assert (shard.document(k) == ids[ends[k] - lengths[k] : ends[k]]).all()
     if seed in (0, 2, 5):
         assert len(shard.symbols) < len(ids) / 2 and len(shard.grammar.lengths) > 0
-    first, rules, _ = tokens.compress(ids)
+    first, rules, rest = tokens.compress(ids)
+    assert not len(tokens.counted(rest, tokens.LEAST)[0]) or len(rest) < 2  # it goes on until no pair is frequent
     assert all(max(pair) < first + k for k, pair in enumerate(rules.tolist()))
 
 
@@ -56,6 +57,27 @@ def test_overlapping_pairs_are_replaced_from_the_left():
     assert rules.tolist() == [[5, 5]] and seq.tolist() == [9] * 8 + [5, 1]
 
 
+def test_pairs_are_counted_exactly():
+    seq = np.random.default_rng(4).zipf(1.5, 3000).astype(np.uint32) % 40
+    pairs, n, at, number = tokens.counted(seq, 3)
+    want, i = {}, 0
+    for i in range(len(seq) - 1):
+        row = i  # every other place of a row of equal symbols, from its left
+        while row and seq[row - 1] == seq[i]:
+            row -= 1
+        if seq[i] != seq[i + 1] or (i - row) % 2 == 0:
+            want.setdefault((int(seq[i]), int(seq[i + 1])), []).append(i)
+    want = {k: v for k, v in want.items() if len(v) >= 3}
+    assert {(int(p >> 32), int(p & 0xFFFFFFFF)): at[number == k].tolist() for k, p in enumerate(pairs.tolist())} == want
+    assert n.tolist() == [len(v) for _, v in sorted(want.items())]
+
+
+def test_repeated_passages_become_long_rules():
+    ids = np.tile(np.random.default_rng(0).integers(0, 50000, 200), 40).astype(np.uint32)
+    shard = tokens.Shard(tokens.pack(ids, np.array([len(ids)])))
+    assert (shard.all() == ids).all() and len(shard.symbols) <= 80 and shard.grammar.lengths.max() >= 100
+
+
 def test_files(spark, tmp_path):
     rnd = random.Random(3)
     rows = [(i * 7 % 1009, " ".join(rnd.choice(["alpha", "beta", "gamma delta", "ü"]) for _ in range(rnd.randint(0, 40)))) for i in range(300)]

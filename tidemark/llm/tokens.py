@@ -139,53 +139,52 @@ def encoder(path: str) -> Encoder:
 # -- Re-Pair
 
 
-def counted(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that occur ``least`` times or more, how often, and for each place of the sequence its pair's number, or -1.
+def counted(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times or more, how often; the places where they do and the pair's number at each.
 
-    A table of hashed slots leaves out the places whose slot is rarer; those that are left are counted by the pairs themselves.
+    Of a pair of equal symbols, which may overlap itself, every other place counts. A table of hashed slots leaves out the
+    places whose slot is rarer; those that are left are counted by the pairs themselves.
     """
     pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    width = max(12, len(seq).bit_length())
+    width = max(12, len(seq).bit_length() - 1)
     slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - width)).astype(np.int64)
-    at = np.flatnonzero((np.bincount(slot, minlength=1 << width) >= least)[slot])
+    often = np.bincount(slot, minlength=1 << width) >= least
+    some = often[slot]
+    same = np.flatnonzero(seq[:-1] == seq[1:])
+    head = np.concatenate(([True], same[1:] != same[:-1] + 1))[: len(same)]
+    start = np.maximum.accumulate(np.where(head, np.arange(len(same)), 0)) if len(same) else same
+    some[same[(np.arange(len(same)) - start) % 2 == 1]] = False
+    at = np.flatnonzero(some)
     own, back, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
     frequent = n >= least
-    number = np.full(len(pairs), -1, np.int64)
-    number[at] = np.where(frequent, np.cumsum(frequent) - 1, -1)[back]
-    return own[frequent], n[frequent], number
+    kept = frequent[back]
+    return own[frequent], n[frequent], at[kept], (np.cumsum(frequent) - 1)[back[kept]]
 
 
 def replaced(seq: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """One round: the sequence with frequent pairs replaced, and the pairs of the new symbols, two columns.
 
-    Where pairs overlap, the more frequent one is replaced, and of equal ones the first, third, and so on. A pair that
-    is left with fewer than ``least`` places by that waits for a later round, where it is counted anew.
+    Where pairs overlap, the more frequent one is replaced; the most frequent of all keeps its places, so rounds come to
+    an end. A pair that is left with fewer than ``least`` places by that waits for a later round, where it is counted anew.
     """
     none = np.zeros((0, 2), np.uint32)
     if len(seq) < 2:
         return seq, none
-    pairs, n, number = counted(seq, least)
+    pairs, n, at, number = counted(seq, least)
     if not len(pairs):
         return seq, none
-    # Each place's rank by how frequent its pair is, 0 first; places beside a better one give way.
     rank = np.empty(len(pairs), np.int64)
     rank[np.lexsort((pairs, -n))] = np.arange(len(pairs))
-    worst = len(pairs)
-    own = np.where(number >= 0, rank[number], worst)
-    left, right = np.concatenate(([worst], own[:-1])), np.concatenate((own[1:], [worst]))
-    at = np.flatnonzero((own < worst) & (own <= left) & (own <= right))
-    # In a row of equal places side by side, take the first, third, and so on.
-    head = np.concatenate(([True], at[1:] != at[:-1] + 1))[: len(at)]
-    start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    at = at[(np.arange(len(at)) - start) % 2 == 0]
-    kept = np.bincount(number[at], minlength=len(pairs)) >= least
-    # The most frequent pair is always replaced, however its places overlap, so that rounds come to an end.
-    kept[rank == 0] |= np.bincount(number[at], minlength=len(pairs))[rank == 0] > 1
-    at = at[kept[number[at]]]
-    if not len(at):
-        return seq, none
+    own = rank[number]
+    beside = at[1:] == at[:-1] + 1
+    wins = np.ones(len(at), bool)
+    wins[1:] &= ~beside | (own[1:] < own[:-1])
+    wins[:-1] &= ~beside | (own[:-1] < own[1:])
+    at, number = at[wins], number[wins]
+    kept = np.bincount(number, minlength=len(pairs)) >= least
+    at, number = at[kept[number]], number[kept[number]]
     out = seq.copy()
-    out[at] = (first_new + np.cumsum(kept) - 1).astype(np.uint32)[number[at]]
+    out[at] = (first_new + np.cumsum(kept) - 1).astype(np.uint32)[number]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     pair = pairs[kept]

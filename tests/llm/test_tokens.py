@@ -48,7 +48,7 @@ def test_re_pair_round_trip(seed):
     if seed in (0, 2, 5):
         assert len(shard.symbols) < len(ids) / 2 and len(shard.grammar.lengths) > 0
     first, rules, rest = tokens.compress(ids)
-    assert not len(tokens.counted(rest, tokens.LEAST)[0]) or len(rest) < 2  # it goes on until no pair is frequent
+    assert len(rest) < 2 or not len(tokens.counted(rest, tokens.LEAST)[0])  # it goes on until no pair is frequent
     assert all(max(pair) < first + k for k, pair in enumerate(rules.tolist()))
 
 

@@ -145,20 +145,33 @@ def counted(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     Of a pair of equal symbols, which may overlap itself, every other place counts. A table of hashed slots leaves out the
     places whose slot is rarer; those that are left are counted by the pairs themselves.
     """
-    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    # Pairs of 16-bit symbols are kept in 32 bits, others in 64.
+    half, kind, factor = (16, np.uint32, 0x9E3779B1) if int(seq.max()) < 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
+    pairs = seq[:-1].astype(kind) << kind(half) | seq[1:]
     width = max(12, len(seq).bit_length() - 1)
-    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - width)).astype(np.int64)
-    often = np.bincount(slot, minlength=1 << width) >= least
-    some = often[slot]
+    slot = (pairs * kind(factor) >> kind(2 * half - width)).astype(np.int32)
+    some = (np.bincount(slot, minlength=1 << width) >= least)[slot]
     same = np.flatnonzero(seq[:-1] == seq[1:])
     head = np.concatenate(([True], same[1:] != same[:-1] + 1))[: len(same)]
     start = np.maximum.accumulate(np.where(head, np.arange(len(same)), 0)) if len(same) else same
     some[same[(np.arange(len(same)) - start) % 2 == 1]] = False
     at = np.flatnonzero(some)
-    own, back, n = np.unique(pairs[at], return_inverse=True, return_counts=True)
-    frequent = n >= least
-    kept = frequent[back]
-    return own[frequent], n[frequent], at[kept], (np.cumsum(frequent) - 1)[back[kept]]
+    pairs, slot = pairs[at], slot[at]
+    ordered = np.sort(pairs)
+    heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
+    n = np.diff(np.append(heads, len(ordered)))
+    own, n = ordered[heads[n >= least]], n[n >= least]
+    # A place finds its pair by its slot; those that share their slot with another frequent pair look it up.
+    table = np.full(1 << width, -1, np.int32)
+    table[(own * kind(factor) >> kind(2 * half - width)).astype(np.int64)] = np.arange(len(own))
+    number = table[slot]
+    if len(own):
+        other = np.flatnonzero((number >= 0) & (own[number] != pairs))
+        found = np.minimum(np.searchsorted(own, pairs[other]), len(own) - 1)
+        number[other] = np.where(own[found] == pairs[other], found, -1)
+    kept = number >= 0
+    wide = own.astype(np.uint64)
+    return wide >> np.uint64(half) << np.uint64(32) | wide & np.uint64((1 << half) - 1), n, at[kept], number[kept]
 
 
 def replaced(seq: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:

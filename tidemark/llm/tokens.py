@@ -139,25 +139,27 @@ def encoder(path: str) -> Encoder:
 # -- Re-Pair
 
 
-def counted(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs that occur ``least`` times or more, how often; the places where they do and the pair's number at each.
+def counted(seq: np.ndarray, least: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur ``least`` times or more at the places ``where``, how often; the places where they do, the
+    pair's number at each, and whether the place counts: of a pair of equal symbols, which may overlap itself, every other one.
 
-    Of a pair of equal symbols, which may overlap itself, every other place counts. A table of hashed slots leaves out the
-    places whose slot is rarer; those that are left are counted by the pairs themselves.
+    A table of hashed slots leaves out the places whose slot is rarer; those that are left are counted by the pairs themselves.
     """
     # Pairs of 16-bit symbols are kept in 32 bits, others in 64.
     half, kind, factor = (16, np.uint32, 0x9E3779B1) if int(seq.max()) < 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
-    pairs = seq[:-1].astype(kind) << kind(half) | seq[1:]
-    width = max(12, len(seq).bit_length() - 1)
+    left, right = seq[where], seq[where + 1]
+    pairs = left.astype(kind) << kind(half) | right
+    width = max(12, len(where).bit_length() - 1)
     slot = (pairs * kind(factor) >> kind(2 * half - width)).astype(np.int32)
-    some = (np.bincount(slot, minlength=1 << width) >= least)[slot]
-    same = np.flatnonzero(seq[:-1] == seq[1:])
-    head = np.concatenate(([True], same[1:] != same[:-1] + 1))[: len(same)]
-    start = np.maximum.accumulate(np.where(head, np.arange(len(same)), 0)) if len(same) else same
-    some[same[(np.arange(len(same)) - start) % 2 == 1]] = False
-    at = np.flatnonzero(some)
-    pairs, slot = pairs[at], slot[at]
-    ordered = np.sort(pairs)
+    counts = np.ones(len(where), bool)
+    same = np.flatnonzero(left == right)
+    if len(same):
+        head = np.concatenate(([True], where[same[1:]] != where[same[:-1]] + 1))
+        start = np.maximum.accumulate(np.where(head, np.arange(len(same)), 0))
+        counts[same[(np.arange(len(same)) - start) % 2 == 1]] = False
+    some = np.flatnonzero((np.bincount(slot, minlength=1 << width) >= least)[slot])
+    pairs, slot, counts = pairs[some], slot[some], counts[some]
+    ordered = np.sort(pairs[counts])
     heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)])
     n = np.diff(np.append(heads, len(ordered)))
     own, n = ordered[heads[n >= least]], n[n >= least]
@@ -171,23 +173,26 @@ def counted(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
         number[other] = np.where(own[found] == pairs[other], found, -1)
     kept = number >= 0
     wide = own.astype(np.uint64)
-    return wide >> np.uint64(half) << np.uint64(32) | wide & np.uint64((1 << half) - 1), n, at[kept], number[kept]
+    return wide >> np.uint64(half) << np.uint64(32) | wide & np.uint64((1 << half) - 1), n, where[some[kept]], number[kept], counts[kept]
 
 
-def replaced(seq: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """One round: the sequence with frequent pairs replaced, and the pairs of the new symbols, two columns.
+def replaced(seq: np.ndarray, first_new: int, least: int = LEAST, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: the sequence with frequent pairs replaced, the pairs of the new symbols, two columns, and where to look next.
 
     Where pairs overlap, the more frequent one is replaced; the most frequent of all keeps its places, so rounds come to
     an end. A pair that is left with fewer than ``least`` places by that waits for a later round, where it is counted anew.
+    Pairs that are frequent in the next round have a new symbol or have waited: only their places are looked at.
     """
     none = np.zeros((0, 2), np.uint32)
-    if len(seq) < 2:
-        return seq, none
-    pairs, n, at, number = counted(seq, least)
+    where = np.arange(len(seq) - 1) if where is None else where
+    if not len(where):
+        return seq, none, where
+    pairs, n, places, number, counts = counted(seq, least, where)
     if not len(pairs):
-        return seq, none
+        return seq, none, places
     rank = np.empty(len(pairs), np.int64)
     rank[np.lexsort((pairs, -n))] = np.arange(len(pairs))
+    at, number = places[counts], number[counts]
     own = rank[number]
     beside = at[1:] == at[:-1] + 1
     wins = np.ones(len(at), bool)
@@ -200,17 +205,22 @@ def replaced(seq: np.ndarray, first_new: int, least: int = LEAST) -> tuple[np.nd
     out[at] = (first_new + np.cumsum(kept) - 1).astype(np.uint32)[number]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
+    look = np.zeros(len(seq), bool)
+    look[places] = True
+    look[at] = True
+    look[np.maximum(at - 1, 0)] = True
     pair = pairs[kept]
-    return out[keep], np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    look = np.flatnonzero(look[keep][:-1])
+    return out[keep], np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), look
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
     """First nonterminal, rules (two symbols each, made of earlier ones) and the sequence that remains when no pair is frequent."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    rules, seq = [np.zeros((0, 2), np.uint32)], ids.astype(np.uint32)
+    rules, seq, where = [np.zeros((0, 2), np.uint32)], ids.astype(np.uint32), None
     n = 0
     while True:
-        seq, more = replaced(seq, first + n, least)
+        seq, more, where = replaced(seq, first + n, least, where)
         if not len(more):
             return first, np.concatenate(rules), seq
         rules.append(more)
@@ -221,20 +231,35 @@ class Expansion:
     """What each symbol stands for: lengths and, laid end to end, the ids of the nonterminals."""
 
     def __init__(self, first: int, rules: np.ndarray) -> None:
-        self.first, self.rules = first, rules
-        lengths: list[int] = []
-        for a, b in rules.tolist():
-            lengths.append((lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1))
-        self.lengths = np.array(lengths, np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.first, self.rules = first, rules.astype(np.int64)
+        # Nonterminals by level: those of a level are made of ids and of lower ones.
+        lengths, self.levels = np.zeros(len(rules), np.int64), []
+        inner = self.rules >= first
+        child = np.where(inner, self.rules - first, 0)
+        left = np.arange(len(rules))
+        while len(left):
+            sizes = np.where(inner[left], lengths[child[left]], 1)
+            ready = (sizes > 0).all(1)
+            if not ready.any():
+                raise ValueError("a rule is made of itself")
+            self.levels.append(left[ready])
+            lengths[left[ready]] = sizes[ready].sum(1)
+            left = left[~ready]
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
 
     @functools.cached_property
     def ids(self) -> np.ndarray:
-        parts: list[list[int]] = []
-        of = lambda x: parts[x - self.first] if x >= self.first else [x]
-        for a, b in self.rules.tolist():
-            parts.append(of(a) + of(b))
-        return np.array([x for p in parts for x in p], np.uint32)
+        out = np.empty(int(self.lengths.sum()), np.uint32)
+        for level in self.levels:
+            at = self.starts[level]
+            for symbols in self.rules[level].T:
+                small = symbols < self.first
+                out[at[small]] = symbols[small]
+                child = symbols[~small] - self.first
+                size = self.lengths[child]
+                out[ranges(at[~small], size)] = out[ranges(self.starts[child], size)]
+                at = at + np.where(small, 1, self.lengths[np.where(small, 0, symbols - self.first)])
+        return out
 
     def sizes(self, seq: np.ndarray) -> np.ndarray:
         out = np.ones(len(seq), np.int64)
@@ -245,13 +270,14 @@ class Expansion:
     def expand(self, seq: np.ndarray) -> np.ndarray:
         sizes = self.sizes(seq)
         begin = np.cumsum(sizes) - sizes
-        out = np.empty(int(sizes.sum()), np.uint32)
         small = seq < self.first
-        out[begin[small]] = seq[small]
-        big = np.flatnonzero(~small)
-        if len(big):
-            out[ranges(begin[big], sizes[big])] = self.ids[ranges(self.starts[seq[big] - self.first], sizes[big])]
-        return out
+        # Ids come from the nonterminals', laid end to end, or from the symbols that are ids themselves, laid after them.
+        source = np.empty(len(seq), np.int64)
+        source[small] = len(self.ids) + np.arange(np.count_nonzero(small))
+        source[~small] = self.starts[seq[~small] - self.first]
+        total = int(sizes.sum())
+        kind = np.int32 if len(self.ids) + total < 1 << 31 else np.int64
+        return np.concatenate((self.ids, seq[small].astype(np.uint32)))[np.repeat((source - begin).astype(kind), sizes) + np.arange(total, dtype=kind)]
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray) -> bytes:

@@ -163,7 +163,53 @@ def test_recovery_order_finds_cycles(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a")], "type string, dep string")
     assert {r["type"]: r["level"] for r in meta.recovery_order(types, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
     with pytest.raises(ValueError, match="cycle"):
-        meta.recovery_order(types, edges.union(spark.createDataFrame([("a", "c")], edges.schema)), 8)
+        meta.recovery_order(types, edges.union(spark.createDataFrame([("a", "c")], edges.schema)))
+
+
+def test_wide_gaps_are_filled_in_pieces(spark):
+    log = spark.createDataFrame([(0, 1, 0, 5, "a"), (0, 1, 3 * logs.PIECE + 9, 6, "b"), (0, 2, 2, 7, "c")], "logdev int, store long, lsn long, idx long, data string")
+    got = logs.fill_gaps(log).groupBy("store", "filled").agg(F.count("*").alias("n"), F.min("lsn").alias("a"), F.max("lsn").alias("b")).collect()
+    assert {tuple(r) for r in got} == {(1, False, 2, 0, 3 * logs.PIECE + 9), (1, True, 3 * logs.PIECE + 8, 1, 3 * logs.PIECE + 8), (2, False, 1, 2, 2), (2, True, 2, 0, 1)}
+
+
+@pytest.mark.parametrize("reset_at", [False, True])
+def test_folds_equal_a_walk(spark, reset_at):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(g, i, rnd.choice([0, 1, 2, 3, 9, 25])) for g in range(5) for i in range(rnd.randint(0, 80))]
+    want, last, bucket, total = [], None, 0, 0
+    for g, i, n in rows:
+        if g != last:
+            last, bucket, total = g, 0, 0
+        if not reset_at and total and total + n > 20:
+            bucket, total = bucket + 1, 0
+        want.append((g, i, n, bucket, total))
+        total += n
+        if reset_at and total >= 20:
+            bucket, total = bucket + 1, 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = greedy.folded(spark.createDataFrame(rows, "g long, i long, n long"), ["g"], "i", "n", 20, reset_at).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == want
+
+
+def test_lower_bounds_without_a_bound(spark):
+    have, asks = [3 * i for i in range(200)], [*range(0, 620, 7)]
+    got = index.lower_bounds(spark.createDataFrame([(k,) for k in have], "k long").repartition(5), "k", spark.createDataFrame([(k,) for k in asks], "k long"))
+    assert {r["k"]: r["bound"] for r in got.collect()} == {a: min((k for k in have if k >= a), default=None) for a in asks}
+
+
+def test_writes_at_an_lsn(spark):
+    log = spark.createDataFrame([(0, 1, n, n, f"d{n}") for n in (0, 1, 4)], "logdev int, store long, lsn long, idx long, data string")
+    new = spark.createDataFrame([(0, 1, 3, 9, "x"), (0, 1, 4, 8, "y"), (0, 2, 0, 7, "z")], log.schema)
+    state, status = logs.write(log, new)
+    assert {tuple(r)[1:] for r in state.collect()} == {(1, 0, 0, "d0"), (1, 1, 1, "d1"), (1, 4, 4, "d4"), (1, 3, 9, "x"), (2, 0, 7, "z")}
+    assert {tuple(r)[1:] for r in status.collect()} == {(1, 3, "success"), (1, 4, "already_exists"), (2, 0, "success")}
+    back = logs.write_at(log, spark.createDataFrame([(0, 1, 1, 5, "n")], log.schema))
+    assert {tuple(r)[2:] for r in back.collect()} == {(0, 0, "d0"), (1, 5, "n")}
 
 
 def test_priorities_and_sizes(spark):

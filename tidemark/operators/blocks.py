@@ -113,3 +113,23 @@ def split_payload(df: DataFrame, block: int) -> DataFrame:
 def joined_payload(parts: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("piece_no", "part")))
     return parts.groupBy("id").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "").alias("data"))
+
+
+def normalised(pieces: Column) -> Column:
+    """The pieces (blk_num, nblks) of a multi-piece extent in order, those that adjoin merged: equal for equal sets of blocks."""
+    seed = F.expr("cast(array() as array<struct<blk_num: bigint, nblks: bigint>>)")
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joins = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["blk_num"] + F.get(acc, F.size(acc) - 1)["nblks"] == p["blk_num"])
+        grown = F.struct(last["blk_num"].alias("blk_num"), (last["nblks"] + p["nblks"]).alias("nblks"))
+        whole = F.struct(p["blk_num"].cast("long").alias("blk_num"), p["nblks"].cast("long").alias("nblks"))
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(whole)))
+
+    return F.aggregate(F.sort_array(pieces), seed, step)
+
+
+def fragmentation(free: DataFrame) -> DataFrame:
+    """Per chunk: free extents, free blocks, the largest extent, and the part of the free blocks outside it, in percent."""
+    out = free.groupBy("chunk").agg(F.count("*").alias("n_free"), F.sum("free_blks").alias("free_blks"), F.max("free_blks").alias("largest"))
+    return out.withColumn("scattered_pct", F.expr("(free_blks - largest) * 100 div free_blks"))

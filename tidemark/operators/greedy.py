@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,19 +22,30 @@ def folded(rows: DataFrame, by: list[str], order: str, size: str, limit: int, re
     schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, bucket, total = None, 0, 0
+        """A step for each bucket, not for each row: where it ends is found in the prefix sums."""
+        group, bucket, total = None, 0, 0  # the group at hand, its bucket, and what the bucket holds so far
         for pdf in parts:
-            buckets, offsets = [], []
-            for key, n in zip(pdf[by].itertuples(index=False, name=None), pdf[size]):
+            sums = np.concatenate(([0], np.cumsum(pdf[size].to_numpy(np.int64))))
+            buckets, offsets = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+            new = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy() if len(pdf) else np.zeros(0, bool)
+            heads = np.flatnonzero(new).tolist()
+            for a, b in zip(heads, [*heads[1:], len(pdf)]):
+                key = tuple(pdf[by].iloc[a])
                 if key != group:
                     group, bucket, total = key, 0, 0
-                if not reset_at and total and total + n > limit:
-                    bucket, total = bucket + 1, 0
-                buckets.append(bucket)
-                offsets.append(total)
-                total += n
-                if reset_at and total >= limit:
-                    bucket, total = bucket + 1, 0
+                while a < b:
+                    # The bucket takes rows up to ``to``; it takes one at least, unless it holds some and the next doesn't fit.
+                    if reset_at:
+                        to = min(b, int(np.searchsorted(sums, sums[a] + limit - total, side="left")))
+                        to = max(to, a + 1)
+                    else:
+                        to = min(b, int(np.searchsorted(sums, sums[a] + limit - total, side="right")) - 1)
+                        to = max(to, a if total else a + 1)
+                    buckets[a:to], offsets[a:to] = bucket, total + sums[a:to] - sums[a]
+                    total += int(sums[to] - sums[a])
+                    if total >= limit if reset_at else to < b:
+                        bucket, total = bucket + 1, 0
+                    a = to
             yield pdf.assign(bucket=buckets, offset=offsets)
 
     return rows.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)

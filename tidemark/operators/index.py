@@ -99,9 +99,17 @@ def lower_bounds(df: DataFrame, key: str, wanted: DataFrame, within: str | None
     by = [within] if within else []
     have = df.select(*by, F.col(key).alias("_at"), F.col(key).alias("_found"), F.lit(1).alias("_asks"))
     asks = wanted.select(*by, F.col(key).alias("_at"), F.lit(None).cast(df.schema[key].dataType).alias("_found"), F.lit(0).alias("_asks"))
+    both = have.unionByName(asks)
+    if not by:  # each range partition is worked off alone; what its last rows look for is the first key of a later one
+        both = both.repartitionByRange("_at").withColumn("_part", F.spark_partition_id())
+        by = ["_part"]
     order = Window.partitionBy(*by).orderBy("_at", "_asks").rowsBetween(0, Window.unboundedFollowing)
-    both = have.unionByName(asks).withColumn("bound", F.first("_found", ignorenulls=True).over(order))
-    return both.where("_asks = 0").select(*by, F.col("_at").alias(key), "bound")
+    found = both.withColumn("bound", F.first("_found", ignorenulls=True).over(order)).where("_asks = 0")
+    if within:
+        return found.select(within, F.col("_at").alias(key), "bound")
+    after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # a row for each partition
+    firsts = both.groupBy("_part").agg(F.min("_found").alias("_first")).select("_part", F.min("_first").over(after).alias("_next"))
+    return found.join(firsts, "_part").select(F.col("_at").alias(key), F.coalesce("bound", "_next").alias("bound"))
 
 
 def ranked(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:

@@ -103,3 +103,54 @@ def members(events: DataFrame) -> DataFrame:
     """Membership after all events (grp, peer, seq, change: add, remove, learner, voter): grp, peer, role."""
     last = events.groupBy("grp", "peer").agg(F.max_by("change", "seq").alias("change"))
     return last.where("change != 'remove'").select("grp", "peer", F.when(F.col("change") == "learner", "learner").otherwise("voter").alias("role"))
+
+
+#: Bytes of the numbers in front of a journal entry, in their order. Fixed values of the layout.
+FIELDS = {"version": 4, "code": 4, "server_id": 4, "dsn": 8, "header_size": 4, "key_size": 4, "value_size": 4}
+
+
+def encoded(entries: DataFrame) -> DataFrame:
+    """Adds ``entry``: the numbers, header, key and value of a journal entry as one binary, numbers big-endian.
+
+    The value is the packed block ids (``blkids``) where the data lie in blocks, linked, or the data themselves, inlined.
+    entries: version, code, server_id, dsn, header, key, blkids, data.
+    """
+    number = lambda c, n: F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 2 * n, "0"))
+    ids = F.unhex(F.array_join(F.transform("blkids", lambda b: F.lpad(F.hex(b), 16, "0")), ""))
+    out = entries.withColumn("is_linked", F.size("blkids") > 0)
+    out = out.withColumn("value", F.when(F.col("is_linked"), ids).otherwise(F.coalesce(F.col("data").cast("binary"), F.lit("").cast("binary"))))
+    for name in ("header", "key", "value"):
+        out = out.withColumn(f"{name}_size", F.octet_length(F.col(name)))
+    numbers = [number(c, n) for c, n in FIELDS.items()]
+    return out.withColumn("entry", F.concat(*numbers, F.col("header").cast("binary"), F.col("key").cast("binary"), "value")).drop("value", *(c for c in FIELDS if c.endswith("size")))
+
+
+def decoded(entries: DataFrame) -> DataFrame:
+    """``entry`` and is_linked read back: the numbers, header, key, blkids and data."""
+    at, out = 1, entries
+    for name, n in FIELDS.items():
+        out = out.withColumn(name, F.conv(F.hex(F.substring("entry", at, n)), 16, 10).cast("long"))
+        at += n
+    part = lambda begin, size: F.substr(F.col("entry"), begin, size)
+    value = part(F.lit(at) + F.col("header_size") + F.col("key_size"), F.col("value_size"))
+    ids = F.transform(F.filter(F.sequence(F.lit(0), F.expr("value_size div 8")), lambda i: i < F.expr("value_size div 8")), lambda i: F.conv(F.hex(F.substr(F.col("value"), i * 8 + 1, F.lit(8))), 16, 10).cast("long"))
+    out = out.withColumn("value", value).withColumn("header", part(F.lit(at), F.col("header_size")).cast("string")).withColumn("key", part(F.lit(at) + F.col("header_size"), F.col("key_size")).cast("string"))
+    none = F.array().cast("array<long>")
+    return out.withColumn("blkids", F.when(F.col("is_linked"), ids).otherwise(none)).withColumn("data", F.when(~F.col("is_linked"), F.col("value").cast("string"))).drop("value")
+
+
+def group_status(peers: DataFrame, progress: DataFrame, own: int) -> DataFrame:
+    """A row for each group as ``own`` sees it: leader, is_leader, n_peers, quorum, commit_lsn, append_lsn, stage, is_ready.
+
+    ``progress``: grp, commit_lsn, append_lsn, destroyed. A member is ready for traffic when it has applied what it appended.
+    """
+    votes = peers.groupBy("grp").agg(F.count("*").alias("n_peers"), F.expr("count_if(can_vote) div 2 + 1").alias("quorum"))
+    out = votes.join(expected_leader(peers), "grp").join(progress, "grp").withColumn("is_leader", F.col("leader") == own)
+    stage = F.when(F.col("destroyed"), "DESTROYED").when(F.col("append_lsn") < 0, "INIT").otherwise("ACTIVE")
+    ready = ~F.col("destroyed") & (F.col("commit_lsn") >= F.col("append_lsn"))
+    return out.withColumn("stage", stage).withColumn("is_ready", ready).select("grp", "leader", "is_leader", "n_peers", "quorum", "commit_lsn", "append_lsn", "stage", "is_ready")
+
+
+def group_capacity(members: DataFrame) -> DataFrame:
+    """Per group: members, total and used capacity, and what is left where the fullest member decides. members: grp, peer, total, used."""
+    return members.groupBy("grp").agg(F.count("*").alias("n_peers"), F.sum("total").alias("total"), F.sum("used").alias("used"), F.min(F.col("total") - F.col("used")).alias("room"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STORE = ["logdev", "store"]
+#: Holes that are filled from one row.
+PIECE = 1 << 16
 
 
 def append(log: DataFrame, new: DataFrame, order: str) -> DataFrame:
@@ -47,7 +49,9 @@ def fill_gaps(log: DataFrame) -> DataFrame:
     """Each store's holes below its tail as rows with null data and ``filled``, besides its own rows."""
     order = Window.partitionBy(*STORE).orderBy("lsn")
     gaps = log.withColumn("_from", F.coalesce(F.lag("lsn").over(order), F.lit(-1)) + 1).where("_from < lsn")
-    gaps = gaps.select(*STORE, F.explode(F.sequence("_from", F.col("lsn") - 1)).alias("lsn"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("data"), F.lit(True).alias("filled"))
+    # A wide gap is cut into pieces first, so that no row holds a long array.
+    gaps = gaps.select(*STORE, (F.col("lsn") - 1).alias("_to"), F.explode(F.sequence("_from", F.col("lsn") - 1, F.lit(PIECE))).alias("_from"))
+    gaps = gaps.select(*STORE, F.explode(F.sequence("_from", F.least("_to", F.col("_from") + PIECE - 1))).alias("lsn"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("data"), F.lit(True).alias("filled"))
     return log.select(*STORE, "lsn", "idx", "data", F.lit(False).alias("filled")).unionByName(gaps)
 
 
@@ -85,9 +89,12 @@ def rollback(log: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame]:
 def replay(log: DataFrame, rolled: DataFrame, opened: DataFrame, from_idx: int = 0) -> DataFrame:
     """Records from ``from_idx`` of opened stores that no rolled-back range of their store covers."""
     rows = log.where(F.col("idx") >= from_idx).join(opened.select(*STORE).distinct(), STORE, "left_semi")
-    a, b = rows.alias("a"), rolled.alias("b")
-    same = (F.col("a.logdev") == F.col("b.logdev")) & (F.col("a.store") == F.col("b.store"))
-    return a.join(b, same & F.col("a.idx").between(F.col("b.lo"), F.col("b.hi")), "left_anti")
+    # In order of idx, a record is covered if a range that began at or before it ends at or after it: one pass over a store.
+    marks = rolled.select(*STORE, F.col("lo").alias("_at"), F.lit(0).alias("_ask"), F.col("hi").alias("_hi"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    asks = rows.select(*STORE, F.col("idx").alias("_at"), F.lit(1).alias("_ask"), F.lit(None).cast("long").alias("_hi"), F.struct("*").alias("_row"))
+    before = Window.partitionBy(*STORE).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(asks).withColumn("_top", F.max("_hi").over(before))
+    return both.where("_ask = 1 and (_top is null or _top < _at)").select("_row.*")
 
 
 def prune_rollbacks(rolled: DataFrame, truncated: DataFrame) -> DataFrame:
@@ -115,10 +122,48 @@ def inlined(log: DataFrame, limit: int = 512) -> DataFrame:
     return log.withColumn("is_inlined", (F.col("size") < limit) | (F.col("size") % limit != 0))
 
 
-def dump(log: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
-    """A JSON line for each record's header."""
+def dump(log: DataFrame, start: int = 0, end: int | None = None, content: bool = False) -> DataFrame:
+    """A JSON line for each record's header, with ``content`` followed by the record as base64."""
     rows = inlined(log.where((F.col("lsn") >= start) & (F.lit(True) if end is None else F.col("lsn") <= end)))
-    return rows.select(*STORE, "lsn", F.to_json(F.struct("size", "idx", "is_inlined", "lsn", "store")).alias("line"))
+    fields = ["size", "idx", "is_inlined", "lsn", "store", *([F.base64(F.col("data").cast("binary")).alias("content")] if content else [])]
+    return rows.select(*STORE, "lsn", F.to_json(F.struct(*fields)).alias("line"))
+
+
+def write(log: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows at lsn of their own choice, in any order: the log with them, and logdev, store, lsn, status for each.
+
+    A record that is there is never overwritten: already_exists.
+    """
+    there = log.select(*STORE, "lsn", F.lit(True).alias("_there"))
+    asked = new.join(there, [*STORE, "lsn"], "left")
+    status = asked.select(*STORE, "lsn", F.when(F.col("_there"), "already_exists").otherwise("success").alias("status"))
+    return log.unionByName(asked.where("_there is null").select(*log.columns)), status
+
+
+def write_at(log: DataFrame, new: DataFrame) -> DataFrame:
+    """One row for each store, at an lsn: everything from there on is rolled back, then the row is appended."""
+    to = new.select(*STORE, (F.col("lsn") - 1).alias("to_lsn"))
+    return rollback(log, to)[0].select(*log.columns).unionByName(new.select(*log.columns))
+
+
+def entries(log: DataFrame, start: int, end: int, limit: int) -> DataFrame:
+    """Entries of each store with ``start`` <= index < ``end``, where an index is an lsn and 1, as long as their sizes add up
+    to ``limit`` at most; the first is always given."""
+    rows = log.withColumn("index", F.col("lsn") + 1).where((F.col("index") >= start) & (F.col("index") < end))
+    order = Window.partitionBy(*STORE).orderBy("lsn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum("size").over(order)).withColumn("_nth", F.count("*").over(order))
+    return rows.where((F.col("_sum") <= limit) | (F.col("_nth") == 1)).drop("_sum", "_nth")
+
+
+def slots(log: DataFrame, term: Column) -> DataFrame:
+    """The facade of a replicated log, per store: start_index, last_index, next_slot, and the term of the last entry."""
+    return log.groupBy(*STORE).agg((F.min("lsn") + 1).alias("start_index"), (F.max("lsn") + 1).alias("last_index"), (F.max("lsn") + 2).alias("next_slot"), F.max_by(term, "lsn").alias("last_term"))
+
+
+def garbage(log: DataFrame, removed: DataFrame, truncated: DataFrame) -> DataFrame:
+    """Removed stores whose ids can't be given out again: the device isn't truncated beyond their last record (logdev, upto_idx)."""
+    last = log.groupBy(*STORE).agg(F.max("idx").alias("last_idx"))
+    return removed.select(*STORE).join(last, STORE).join(truncated, "logdev").where("last_idx > upto_idx").select(*STORE, "last_idx")
 
 
 def status(log: DataFrame) -> DataFrame:

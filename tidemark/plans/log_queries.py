@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, blocks, greedy, logs, meta
-from ..sources.tables import event_log, extents, table
+from ..sources.tables import event_log, extents, shared_folder, table
 from .registry import query
 
 ALL = (
@@ -139,6 +139,52 @@ def log_status(spark, sf):
     return logs.status(event_log(spark, sf))
 
 
+@query(f"""select logdev, store, lsn, '{{"size":' || size || ',"idx":' || idx || ',"is_inlined":true,"lsn":' || lsn || ',"store":' || store || ',"content":"' || base64(encode(data)) || '"}}' as line from ({LOG}) where lsn <= 4""")
+def log_dump_content(spark, sf):
+    return logs.dump(event_log(spark, sf), 0, 4, content=True)
+
+
+@query(f"select logdev, store, lsn, size, size < 512 or size % 512 != 0 as is_inlined from (select logdev, store, lsn, size * 16 as size from ({LOG}))")
+def log_inlined(spark, sf):
+    return logs.inlined(event_log(spark, sf).select("logdev", "store", "lsn", (F.col("size") * 16).alias("size")))
+
+
+@query(f"select {REC} from ({ALL})")
+def log_write_lsn(spark, sf):
+    """Late records are written into the holes; every fifth is asked for twice over and refused."""
+    log = event_log(spark, sf).select("logdev", "store", "lsn", "idx")
+    return logs.write(log, event_log(spark, sf, holes=False).where("idx % 17 = 0 or idx % 5 = 0").select("logdev", "store", "lsn", "idx"))[0]
+
+
+@query(f"select logdev, store, lsn, case when idx % 17 = 0 then 'success' else 'already_exists' end as status from ({ALL}) where idx % 17 = 0 or idx % 5 = 0")
+def log_write_status(spark, sf):
+    log = event_log(spark, sf).select("logdev", "store", "lsn", "idx")
+    return logs.write(log, event_log(spark, sf, holes=False).where("idx % 17 = 0 or idx % 5 = 0").select("logdev", "store", "lsn", "idx"))[1]
+
+
+@query(f"select l.logdev, l.store, l.lsn, l.idx from ({LOG}) l left join ({TO}) t on t.store = l.store where t.to_lsn is null or l.lsn < t.to_lsn union all select logdev, store, to_lsn, 1000000 + store from ({TO})")
+def log_write_at(spark, sf):
+    new = _to(spark, sf).select("logdev", "store", F.col("to_lsn").alias("lsn"), (F.col("store") + 1_000_000).alias("idx"))
+    return logs.write_at(event_log(spark, sf).select("logdev", "store", "lsn", "idx"), new)
+
+
+@query(f"select logdev, store, index, idx from (select *, lsn + 1 as index, sum(cents) over (partition by store order by lsn) s, row_number() over (partition by store order by lsn) n from ({LOG}) where lsn + 1 between 3 and 11) where s <= 30000 or n = 1")
+def log_entries(spark, sf):
+    return logs.entries(event_log(spark, sf).withColumn("size", F.col("cents")), 3, 12, 30000).select("logdev", "store", "index", "idx")
+
+
+@query(f"select logdev, store, min(lsn) + 1 as start_index, max(lsn) + 1 as last_index, max(lsn) + 2 as next_slot, arg_max(idx // 500, lsn) as last_term from ({LOG}) group by all")
+def log_slots(spark, sf):
+    return logs.slots(event_log(spark, sf), F.expr("idx div 500"))
+
+
+@query(f"select l.logdev, l.store, max(l.idx) as last_idx from ({LOG}) l join (select logdev, max(idx) - 300 as upto from ({LOG}) group by 1) t on t.logdev = l.logdev where store % 3 = 1 group by l.logdev, l.store having max(l.idx) > max(t.upto)")
+def log_garbage_stores(spark, sf):
+    log = event_log(spark, sf)
+    truncated = log.groupBy("logdev").agg((F.max("idx") - 300).alias("upto_idx"))
+    return logs.garbage(log, log.where("store % 3 = 1").select("logdev", "store").distinct(), truncated)
+
+
 # -- greedy folds: the SQL walks each sequence row by row
 
 STEP = "with recursive r as (select {by}, idx, {size} as size, row_number() over (partition by {by} order by idx) n from ({LOG})), w as (select *, 0::bigint as bucket, 0::bigint as \"offset\" from r where n = 1 union all select r.{by}, r.idx, r.size, r.n, {next} from w join r on r.{by} = w.{by} and r.n = w.n + 1) select {by}, idx, size, bucket, \"offset\" from w"
@@ -265,6 +311,20 @@ def blk_write_read(spark, sf):
     return blocks.joined_payload(blocks.split_payload(rows.drop("n"), 512))
 
 
+@query(f"select seq, cast(nblks as bigint) as blocks, nblks >= 3 as is_split, true as is_equal from ({A})")
+def blk_compare(spark, sf):
+    """Extents cut into pieces of two and of three blocks, the latter from the back, are equal as sets of blocks."""
+    cut = lambda n: F.transform(F.sequence(F.lit(0).cast("long"), F.expr(f"(nblks + {n} - 1) div {n} - 1")), lambda i: F.struct((F.col("blk_num") + i * n).alias("blk_num"), F.least(F.lit(n).cast("long"), F.col("nblks") - i * n).alias("nblks")))
+    rows = blocks.append_alloc(extents(spark, sf)).withColumn("a", blocks.normalised(cut(2))).withColumn("b", blocks.normalised(F.reverse(cut(3))))
+    total = F.aggregate("a", F.lit(0).cast("long"), lambda acc, p: acc + p["nblks"])
+    return rows.select("seq", total.alias("blocks"), (F.size(cut(2)) > 1).alias("is_split"), (F.col("a") == F.col("b")).alias("is_equal"))
+
+
+@query(f"select chunk, count(*) as n_free, cast(sum(free_blks) as bigint) as free_blks, max(free_blks) as largest, cast((sum(free_blks) - max(free_blks)) * 100 // sum(free_blks) as bigint) as scattered_pct from ({GAPS}) group by chunk")
+def blk_fragmentation(spark, sf):
+    return blocks.fragmentation(blocks.free_gaps(_used(spark, sf), CAP))
+
+
 # -- metadata
 
 RECORDS = "select case when c_custkey % 2 = 0 then 'a' else 'b' end as type, c_custkey % 400 as id, c_custkey // 400 as gen_cnt, case when c_custkey % 9 = 0 then null else c_name end as payload from customer"
@@ -284,17 +344,10 @@ def meta_latest(spark, sf):
 def meta_topo_order(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("n"))
     name = lambda c: F.concat(F.lit("n"), c.cast("string"))
-    spark.sparkContext.getCheckpointDir() or _checkpoint(spark)
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return meta.recovery_order(n.select(name(F.col("n")).alias("type")), n.where("n >= 2").select(name(F.col("n")).alias("type"), name(F.expr("n div 2 - 1")).alias("dep")))
 
 
-def _checkpoint(spark):
-    """Where neither the session nor the user has set a folder, as in tests, a temporary one."""
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-
-
 BLOCKS = "select 't' || s_nationkey as type, s_suppkey as pos, s_suppkey * 10 as bid, case when s_suppkey % 13 = 5 then -1 else (lag(s_suppkey) over (partition by s_nationkey order by s_suppkey)) * 10 end as prev_bid from supplier"
 
 
@@ -310,3 +363,31 @@ def meta_chain_audit(spark, sf):
 def meta_overflow_size(spark, sf):
     n = F.col("n_chars")
     return table(spark, sf, "documents").select("doc_id", meta.overflow_blocks(n).alias("ovf"), meta.compressed(n, F.lit(1500), least=2000).alias("is_compressed"))
+
+
+def _records(spark, sf):
+    c = F.col("c_custkey")
+    return table(spark, sf, "customer").select(
+        F.when(c % 2 == 0, "a").otherwise("b").alias("type"), (c % 400).alias("id"), F.expr("c_custkey div 400").alias("gen_cnt"), F.when(c % 9 == 0, None).otherwise(F.col("c_name")).alias("payload")
+    )
+
+
+@query(f"select type, id, max(gen_cnt) as gen_cnt, arg_max_null(payload, gen_cnt) as payload from ({RECORDS}) where type = 'b' group by type, id having arg_max_null(payload, gen_cnt) is not null")
+def meta_by_type(spark, sf):
+    return meta.by_type(_records(spark, sf), "b")
+
+
+@query("select type, id, gen_cnt, problem from (select *, case when type = 'c' then 'unknown_type' when gen_cnt < 0 then 'negative_gen' when max(gen_cnt) over (partition by type, id) > gen_cnt then 'stale_copy' when digest != md5(payload) then 'torn' end as problem from (select case c_custkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end as type, c_custkey // 6 as id, c_custkey % 7 - 1 as gen_cnt, c_name as payload, md5(case when c_custkey % 11 = 0 then 'torn' else c_name end) as digest from customer)) where problem is not null")
+def meta_verify(spark, sf):
+    c = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        F.when(c % 3 == 0, "a").when(c % 3 == 1, "b").otherwise("c").alias("type"), F.expr("c_custkey div 6").alias("id"), (c % 7 - 1).alias("gen_cnt"),
+        F.col("c_name").alias("payload"), F.md5(F.when(c % 11 == 0, "torn").otherwise(F.col("c_name"))).alias("digest"),
+    )
+    return meta.violations(rows, spark.createDataFrame([("a",), ("b",)], "type string"))
+
+
+@query("select 't' || s_nationkey as type, '[' || string_agg('{\"id\":' || s_suppkey || ',\"gen_cnt\":' || s_suppkey % 5 || ',\"size\":' || strlen(s_name) || '}', ',' order by s_suppkey) || ']' as records from supplier group by 1")
+def meta_dump_json(spark, sf):
+    s = F.col("s_suppkey")
+    return meta.dump(table(spark, sf, "supplier").select(F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("type"), s.alias("id"), (s % 5).alias("gen_cnt"), F.col("s_name").alias("payload")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..operators import journal, topology
-from ..sources.tables import event_log, orders_index, peers, table
+from ..operators import blocks, index, journal, topology
+from ..sources.snapshots import Mismatch, Snapshots
+from ..sources.tables import event_log, extents, orders_index, peers, shared_folder, table
 from ..streaming import tail
 from .log_queries import LOG
 from .registry import query
@@ -40,6 +41,65 @@ def cp_lag2_truncate(spark, sf):
     return journal.lagged_truncation(cps)
 
 
+# -- published versions: even keys are the first, a crash leaves a second one without manifest
+
+KV = "select o_orderkey as k, o_custkey as v from orders"
+
+
+def _published(spark, sf) -> tuple[Snapshots, object]:
+    state = orders_index(spark, sf).select("k", "v")
+    store = Snapshots(spark, _shared(spark))
+    store.commit({"index": state.where("k % 2 = 0"), "audit": state.where("k % 2 = 0").groupBy().count()}, cp_lsn=100, base=0, sealer="audit")
+    return store, state
+
+
+@query(f"select k, case when k % 5 = 0 and k > 100 then v + 1 else v end as v from ({KV}) where (k % 2 = 0 or (k % 5 = 0 and k > 100)) and not (k % 10 = 0 and k > 100)")
+def cp_crash_recovery(spark, sf):
+    """The folder of the version that never was published isn't read; the journal after the checkpoint is replayed."""
+    store, state = _published(spark, sf)
+    state.select("k", (-F.col("v")).alias("v")).write.parquet(f"{store.folder}/v2/index")
+    journal = state.where("k % 5 = 0").select(F.col("k").alias("lsn"), "k", F.when(F.col("k") % 10 != 0, F.col("v") + 1).alias("v"))
+    return store.recovered("index", journal)
+
+
+@query(f"select * from (values (1, 'cp_mismatch', 1), (2, 'success', 2)) t(attempt, status, version), (select count(*) as n from ({KV}) where k % 3 = 0)")
+def cp_mismatch_retry(spark, sf):
+    """A writer that has read version 0 is refused once 1 is out; it reads again and publishes 2."""
+    store, state = _published(spark, sf)
+    seen, base, table_ = [], 0, {"index": state.where("k % 3 = 0")}
+    while not seen or seen[-1][1] != "success":
+        try:
+            seen.append((len(seen) + 1, "success", store.commit(table_, 200, base)))
+        except Mismatch:
+            base = store.version()
+            seen.append((len(seen) + 1, "cp_mismatch", base))
+    return spark.createDataFrame(seen, "attempt int, status string, version int").join(store.read("index").agg(F.count("*").alias("n")))
+
+
+@query(f"select version, n_tables, cp_lsn, n from (values (1, 2, 100), (2, 1, 200)) t(version, n_tables, cp_lsn), (select count(*) as n from ({KV}) where k % 2 = 0)")
+def cp_switch_over(spark, sf):
+    """Manifests in order; the second version takes the index of the first along unchanged."""
+    store, _ = _published(spark, sf)
+    store.commit({"index": store.read("index")}, 200, 1)
+    n = store.read("index", 2).agg(F.count("*").alias("n"))
+    return store._manifests().select(F.col("version").cast("int"), F.size("tables").alias("n_tables"), F.col("cp_lsn").cast("int")).join(n)
+
+
+@query(f"select k, v, (row_number() over (order by k) - 1) // 10 as page from ({KV}) where k % 2 = 0")
+def repl_snapshot_objects(spark, sf):
+    """A snapshot read in batches of ten keys."""
+    return index.page_numbers(_published(spark, sf)[0].read("index"), "k", 10)
+
+
+@query(f"select count(*) as n_entries, true as has_nodes, true as is_gone from ({KV}) where k % 2 = 0")
+def index_destroy(spark, sf):
+    store, _ = _published(spark, sf)
+    freed = store.destroy("index")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store.folder}/v1/index")
+    gone = not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.createDataFrame([(freed["n_entries"], freed["n_nodes"] > 0, gone)], "n_entries long, has_nodes boolean, is_gone boolean")
+
+
 # -- replication
 
 JE = "select store as grp, lsn // 2 as lsn, case when code = 'error' then 'rollback' when code in ('view', 'click') then 'precommit' else 'commit' end as event, idx as seq from ({LOG})".format(LOG=LOG)
@@ -250,6 +310,49 @@ def status_json(spark, sf):
     return metrics.status_json(per, "r_name", ["r_regionkey", "n"], ["ASIA", "EUROPE", "NOWHERE"])
 
 
+X = "select doc_id as seq, cast(doc_id % 8 as int) as chunk, greatest(cast(ceil(coalesce(n_chars, 0) / 4096.0) as bigint), 1) as nblks from documents"
+ENTRY = f"select seq, 1 as version, case when seq % 3 = 0 then 0 else 1 end as code, seq % 7 as server_id, seq * 1000003 as dsn, 'h' || chunk as header, 'key-' || seq as key, case when seq % 3 != 0 then [(chunk::bigint << 47) | (nblks << 31), (chunk::bigint << 47) | (1::bigint << 31) | nblks] else [] end as blkids, case when seq % 3 = 0 then 'data of ' || seq end as data from ({X})"
+
+
+def _entries(spark, sf):
+    seq, chunk, n = F.col("seq"), F.col("chunk"), F.col("nblks")
+    ids = F.array(blocks.pack(chunk, F.lit(0), n), blocks.pack(chunk, n, F.lit(1)))
+    return extents(spark, sf).select(
+        "seq", F.lit(1).cast("long").alias("version"), F.when(seq % 3 == 0, 0).otherwise(1).cast("long").alias("code"), (seq % 7).alias("server_id"), (seq * 1000003).alias("dsn"),
+        F.concat(F.lit("h"), chunk.cast("string")).alias("header"), F.concat(F.lit("key-"), seq.cast("string")).alias("key"),
+        F.when(seq % 3 != 0, ids).otherwise(F.array().cast("array<long>")).alias("blkids"), F.when(seq % 3 == 0, F.concat(F.lit("data of "), seq.cast("string"))).alias("data"),
+    )
+
+
+@query(f"select seq, len(blkids) > 0 as is_linked, printf('%08X%08X%08X%016X%08X%08X%08X', version, code, server_id, dsn, strlen(header), strlen(key), case when len(blkids) > 0 then 8 * len(blkids) else strlen(data) end) || hex(header) || hex(key) || case when len(blkids) > 0 then array_to_string(list_transform(blkids, lambda b: printf('%016X', b)), '') else hex(data) end as entry from ({ENTRY})")
+def repl_journal_entry(spark, sf):
+    return journal.encoded(_entries(spark, sf)).select("seq", "is_linked", F.hex("entry").alias("entry"))
+
+
+@query(ENTRY)
+def repl_journal_entry_read(spark, sf):
+    names = ["version", "code", "server_id", "dsn", "header", "key", "blkids", "data"]
+    return journal.decoded(journal.encoded(_entries(spark, sf)).select("seq", "is_linked", "entry")).select("seq", *names)
+
+
+@query("select s_nationkey as grp, count(*) as n_peers, cast(sum(1000000 + s_suppkey) as bigint) as total, cast(sum(s_suppkey * 37 % 5000) as bigint) as used, min(1000000 + s_suppkey - s_suppkey * 37 % 5000) as room from supplier group by 1")
+def repl_group_capacity(spark, sf):
+    return journal.group_capacity(peers(spark, sf).select("grp", "peer", (F.col("peer") + 1_000_000).alias("total"), F.col("idx").alias("used")))
+
+
+@query("select grp, leader, leader = 7 as is_leader, n_peers, quorum, commit_lsn, append_lsn, case when grp % 6 = 5 then 'DESTROYED' when append_lsn < 0 then 'INIT' else 'ACTIVE' end as stage, grp % 6 != 5 and commit_lsn >= append_lsn as is_ready from (select s_nationkey as grp, arg_max(s_suppkey, (s_suppkey * 13 % 101) * 1000000 - s_suppkey) as leader, count(*) as n_peers, count(*) filter (s_suppkey % 5 != 0) // 2 + 1 as quorum, min(s_suppkey * 37 % 5000) as commit_lsn, case when s_nationkey % 4 = 0 then min(s_suppkey * 37 % 5000) when s_nationkey % 4 = 1 then -1 else max(s_suppkey * 37 % 5000) end as append_lsn from supplier group by 1)")
+def repl_group_status(spark, sf):
+    rows, g = peers(spark, sf), F.col("grp")
+    progress = rows.groupBy("grp").agg(F.min("idx").alias("commit_lsn"), F.max("idx").alias("top"))
+    append = F.when(g % 4 == 0, F.col("commit_lsn")).when(g % 4 == 1, -1).otherwise(F.col("top"))
+    return journal.group_status(rows, progress.select("grp", "commit_lsn", append.alias("append_lsn"), (g % 6 == 5).alias("destroyed")), 7)
+
+
+@query("select p_partkey, cast(ceil(ceil(p_size * 1000003 * (p_partkey % 100) / 100.0) / 4096.0) as bigint) * 4096 as size from part")
+def dev_percent_size(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", topology.percent_size(F.col("p_size").cast("long") * 1000003, F.col("p_partkey") % 100, 4096).alias("size"))
+
+
 # -- streams: what a stream leaves behind equals the batch
 
 @query(f"select logdev, store, max(lsn) as tail_lsn, count(*) as n_records, arg_max(idx, lsn) as tail_idx from ({LOG}) group by all")
@@ -264,11 +367,8 @@ def stream_tail_equals_batch(spark, sf):
 
 
 def _shared(spark) -> str:
-    """A new folder among those that the cluster shares; in tests, where none is set, a temporary one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder among those that the cluster shares."""
+    return f"{shared_folder(spark)}/new-{uuid.uuid4().hex}"
 
 
 # -- extensions: not in the ordered store, natural in Spark
@@ -321,6 +421,14 @@ def ext_approx_distinct(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
 
 
+@query("select l_returnflag, true as parts_near, true as median_near from lineitem group by 1")
+def ext_approx_within_bounds(spark, sf):
+    """Approximate counts are within 15 % of the exact ones (three standard errors), the median within one rank in a hundred."""
+    near = F.approx_count_distinct("l_partkey") / F.count_distinct("l_partkey")
+    rows = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(near.between(0.85, 1.15).alias("parts_near"), F.percentile_approx("l_quantity", 0.5).alias("m"), F.percentile("l_quantity", F.array(F.lit(0.49), F.lit(0.51))).alias("q"))
+    return rows.select("l_returnflag", "parts_near", F.col("m").between(F.floor(F.get("q", F.lit(0))), F.ceil(F.get("q", F.lit(1)))).alias("median_near"))
+
+
 @query("select k, v, status from (select o_orderkey as k, o_custkey as v, o_orderstatus as status, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) n from orders) where n <= 2")
 def ext_top_per_group(spark, sf):
     w = Window.partitionBy("v").orderBy(F.col("price").desc(), "k")

@@ -50,6 +50,19 @@ class Snapshots:
             raise ValueError(f"schema version {row['schema_version']}, not {self.schema_version}")
         return self.spark.read.parquet(f"{self.folder}/v{row['version']}/{name}")
 
+    def destroy(self, name: str) -> dict[str, int]:
+        """Drop a table's folders in all versions; the numbers of entries in the last version and of nodes (files) that are freed."""
+        rows = self.read(name)
+        n = rows.count()
+        files, fs = set(), None
+        for r in self._manifests().where(F.array_contains("tables", name)).select("version").collect():  # a row for each version
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{r['version']}/{name}")
+            fs = fs or path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if fs.exists(path):
+                files |= {str(f.getPath()) for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")}
+                fs.delete(path, True)
+        return {"n_entries": n, "n_nodes": len(files)}
+
     def checkpoint_lsn(self) -> int:
         found = self._manifests()
         return found.orderBy(F.col("version").desc()).first()["cp_lsn"] if found is not None else -1

@@ -7,18 +7,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.tables import shared_folder
 
 #: ASCII white space of the contracts: \x20 and \x09-\x0D.
 SPACE = "\\x20\\x09-\\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, one beside the warehouse, which all executors share too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and losing executors loses nothing."""
     spark = df.sparkSession

@@ -182,7 +182,8 @@ def spans(docs: DataFrame, items: DataFrame, window: int = 13, size: int = SHARD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches of about ``STRETCH`` text bytes at a time; each automaton goes over a stretch before the next is opened."""
         only = next(opened()) if len(sent) == 1 else None
-        for batch in gathered(slices(batches, "text", STRETCH), STRETCH):
+        stretch = 2 << 20 if only else STRETCH  # nothing is opened again for a stretch where there is one automaton
+        for batch in gathered(slices(batches, "text", stretch), stretch):
             documents = texts(batch.column("text"))
             counts, hits, names = [0] * len(documents), [[] for _ in documents], [set() for _ in documents]
             for automaton in [only] if only else opened():

@@ -354,7 +354,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, shard_ids: int = SH
                 names=["shard", "n_ids", "doc_ids", "body"],
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             coded = encoder(path).encode([t.decode("utf-8", "replace") for t in texts(batch.column("text"))])
             for d, x in zip(batch.column("doc_id").to_pylist(), coded):
                 doc_ids.append(d)
